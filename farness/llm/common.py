@@ -1,11 +1,7 @@
-"""What the operators of this subpackage share: tables, scratch tables in the shared folder, Arrow streams."""
+"""What the operators of this subpackage share: tables, spare column names, Arrow streams."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,51 +14,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share.
-
-    Only where neither the session nor the context names one (tests, a single machine) a temporary folder is set.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = f"file://{tempfile.mkdtemp(prefix='farness-')}"
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-class Scratch:
-    """Parquet tables under the shared folder: they cut lineage and outlive lost executors.
-
-    A table goes when drop() names it, the rest when the session's process ends.
-    """
-
-    def __init__(self, spark: SparkSession, purpose: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{purpose}-{uuid.uuid4().hex}"
-        atexit.register(self._leave)
-
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def keep(self, df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-        writer = df.write.mode("overwrite")
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(self.path(name))
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
-
-    def drop(self, *names: str) -> None:
-        for name in names:
-            delete(self.spark, self.path(name))
-
-    def _leave(self) -> None:
-        if self.spark._jsc is not None and self.spark._jsc.sc() is not None and not self.spark._jsc.sc().isStopped():
-            delete(self.spark, self.root)
-
-
 def spare(df: DataFrame, *wanted: str) -> list[str]:
     """Names for new columns that clash with none of df's: the wanted ones, with underscores in front as needed."""
     taken, out = {c.lower() for c in df.columns}, []
