@@ -74,11 +74,37 @@ def line_fails(line: Column, rules: LineRules) -> Column:
     )
 
 
-def repeated_words(windows: Column) -> Column:
-    """Words that lie in a window found twice or more; windows is sorted by (hash, place)."""
-    same = lambda j, x: F.coalesce(F.get(windows, j)["h"] == x["h"], F.lit(False))
-    found = F.filter(windows, lambda x, j: same(j - 1, x) | same(j + 1, x))
-    covered = F.flatten(F.transform(found, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))
+def may_fail(text: Column, symbols: Column, rules: LineRules) -> Column:
+    """False only where no line of the text can fail: what a failing line must have isn't in the whole text.
+
+    A line of capitals for more than half has two in a row; an unstopped line has its words between line ends without a stop.
+    """
+    out = (symbols > 0) | F.contains(text, F.lit("!")) | F.rlike(text, F.lit(f"[A-Z\u00c0-\u00d6\u00d8-\u00de]{{2}}"))
+    for s in NAVIGATION:
+        out = out | F.contains(text, F.lit(s))
+    out = out | F.rlike(F.lower(text), F.lit("|".join(BOILERPLATE)))
+    plain = f"[^\\n {STOPS}]*+"
+    return out | F.rlike(text, F.lit(f"(?:^|\\n){plain}(?: {plain}){{{rules.unstopped_words},}}+(?:\\n|$)"))
+
+
+def window_places(hashes: Column) -> Column:
+    """(hash, place) of every window packed into one sorted number each: the low bits have the place."""
+    low = place_bits(hashes)
+    return F.sort_array(F.transform(hashes, lambda h, i: h.bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("long"))))
+
+
+def place_bits(hashes: Column) -> Column:
+    return F.when(F.size(hashes) < 1 << 20, F.lit((1 << 20) - 1).cast("long")).otherwise(F.lit((1 << 31) - 1).cast("long"))
+
+
+def repeated_words(hashes: Column, packed: Column) -> Column:
+    """Words that lie in a window found twice or more; neighbours by the packed number are compared by their whole hashes."""
+    low = place_bits(hashes)
+    place = lambda x: x.bitwiseAND(low).cast("int")
+    near = lambda x, y: (x.bitwiseXOR(y) <= low) & (x.bitwiseXOR(y) >= 0)
+    same = lambda x, y: F.coalesce(near(x, y) & (F.get(hashes, place(x)) == F.get(hashes, place(y))), F.lit(False))
+    found = F.filter(packed, lambda x, j: same(x, F.get(packed, j - 1)) | same(x, F.get(packed, j + 1)))
+    covered = F.flatten(F.transform(found, lambda x: F.array(place(x), place(x) + 1, place(x) + 2)))
     return F.size(F.array_distinct(covered)).cast("long")
 
 
@@ -92,27 +118,25 @@ def line_first(docs: DataFrame, text: str = "text", rules: LineRules = LineRules
     out = dict(zip(names, spare(docs, *names), strict=True))
     w, ls, hs, ws, ok, dl, whole = spare(docs, "_w", "_ls", "_hs", "_ws", "_ok", "_dl", "_whole")
     t = F.coalesce(F.col(text), F.lit(""))
-    df = docs.select("*", words_of(F.col(text)).alias(w), F.split(t, "\n", -1).alias(ls))
+    df = docs.select("*", words_of(F.col(text)).alias(w), F.split(t, "\n", -1).alias(ls), F.when(F.rlike(t, F.lit(f"[{SYMBOLS}]")), count_of(t, SYMBOLS)).otherwise(F.lit(0)).cast("long").alias(out["n_symbols"]))
     n = F.size(w)
     df = df.select(
         "*",
         F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))).otherwise(F.array().cast("array<bigint>")).alias(hs),
-        F.filter(ls, lambda x: ~line_fails(x, rules)).alias(ok),
+        F.when(may_fail(t, F.col(out["n_symbols"]), rules), F.filter(ls, lambda x: ~line_fails(x, rules))).otherwise(F.col(ls)).alias(ok),
         F.filter(ls, lambda x: F.length(F.btrim(x, F.lit(BLANKS))) > 0).alias(dl),
     )
-    df = df.select("*", F.when(F.size(F.array_distinct(hs)) < F.size(hs), F.sort_array(F.transform(hs, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).alias(ws))
-    repeat = F.when(F.col(ws).isNull(), F.lit(0).cast("long")).otherwise(repeated_words(F.col(ws)))
+    df = df.select("*", F.when(F.size(F.array_distinct(hs)) < F.size(hs), window_places(F.col(hs))).alias(ws), F.concat_ws("\n", ok).alias(out["clean_text"]))
+    repeat = F.when(F.col(ws).isNull(), F.lit(0).cast("long")).otherwise(repeated_words(F.col(hs), F.col(ws)))
     df = df.select(
         "*",
         n.cast("long").alias(out["n_words"]),
-        F.length(F.translate(t, BLANKS, "")).cast("long").alias(out["word_chars"]),
-        count_of(t, SYMBOLS).cast("long").alias(out["n_symbols"]),
+        F.length(F.concat_ws("", w)).cast("long").alias(out["word_chars"]),
         (F.size(dl) - F.size(F.array_distinct(dl))).cast("long").alias(out["n_dup_lines"]),
         repeat.alias(out["n_repeat_words"]),
-        F.concat_ws("\n", ok).alias(out["clean_text"]),
         (F.size(ls) - F.size(ok)).cast("long").alias(out["n_lines_failed"]),
-        F.length(F.translate(F.concat_ws("", ok), "\n", "")).cast("long").alias(out["kept_chars"]),
-        F.length(F.translate(t, "\n", "")).cast("long").alias(whole),
+        (F.length(out["clean_text"]) - F.greatest(F.size(ok) - 1, F.lit(0))).cast("long").alias(out["kept_chars"]),
+        (F.length(t) - (F.size(ls) - 1)).cast("long").alias(whole),
     )
     failed = (F.col(out["n_words"]) < 50) | (100 * F.col(out["n_repeat_words"]) > 50 * F.col(out["n_words"]))
     df = df.select("*", failed.alias(out["base_failed"]))
