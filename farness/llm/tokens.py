@@ -25,9 +25,9 @@ def _parts(spec: dict | None, key: str) -> list[dict]:
 
 
 class PieceEncoder:
-    """encode(texts) for Arrow string arrays; remembers at most about `most` pieces, then starts anew."""
+    """encode(texts) for Arrow string arrays; remembers about `most` pieces, then only the half that most slices had."""
 
-    def __init__(self, path: str, most: int = 1 << 19):
+    def __init__(self, path: str, most: int = 900_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -51,20 +51,35 @@ class PieceEncoder:
     def _forget(self) -> None:
         self.place: dict[str, int] = {}
         self.count, self.used = 0, 0
-        self.starts, self.sizes = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.starts, self.sizes, self.hits = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
         self.store = np.zeros(1 << 16, np.uint32)
 
+    def _thin(self) -> None:
+        """Keeps the pieces with the most hits, those of several slices only, half of `most` at most."""
+        hits = self.hits[: self.count]
+        floor = max(2, int(np.partition(hits, self.count - self.most // 2)[self.count - self.most // 2]) + 1)
+        keep = np.flatnonzero(hits >= floor)
+        sizes = self.sizes[keep]
+        ends = np.cumsum(sizes)
+        store = self.store[np.repeat(self.starts[keep] - (ends - sizes), sizes) + np.arange(int(sizes.sum()))]
+        new = np.full(self.count, -1)
+        new[keep] = np.arange(keep.size)
+        self.place = {k: int(new[i]) for k, i in self.place.items() if new[i] >= 0}
+        self.count, self.used, self.store = keep.size, int(sizes.sum()), store
+        self.starts, self.sizes, self.hits = ends - sizes, sizes, hits[keep] // 2
+
     def _add(self, keys: list[str]) -> None:
         """Encodes keys that aren't known yet; a key is a piece with its space in front, if any."""
         lists = [x.ids for x in self.tokenizer.encode_batch_fast(keys, add_special_tokens=False)]
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
         to, end = self.count + len(keys), self.used + int(sizes.sum())
-        for name, n in (("starts", to), ("sizes", to), ("store", end)):
+        for name, n in (("starts", to), ("sizes", to), ("hits", to), ("store", end)):
             if (old := getattr(self, name)).size < n:
                 setattr(self, name, np.concatenate([old, np.zeros(max(n - old.size, old.size), old.dtype)]))
         self.sizes[self.count : to] = sizes
         self.starts[self.count : to] = self.used + np.cumsum(sizes) - sizes
         self.store[self.used : end] = np.fromiter((i for x in lists for i in x), np.uint32, end - self.used)
+        self.hits[self.count : to] = 0
         self.place.update(zip(keys, range(self.count, to), strict=True))
         self.count, self.used = to, end
 
@@ -72,7 +87,9 @@ class PieceEncoder:
         known = self.place
         if missing := [k for k in keys if k not in known]:
             self._add(missing)
-        return np.fromiter(map(known.__getitem__, keys), np.int64, len(keys))
+        places = np.fromiter(map(known.__getitem__, keys), np.int64, len(keys))
+        self.hits[places] += 1
+        return places
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, offsets of each text in them); null is as empty."""
@@ -99,7 +116,7 @@ class PieceEncoder:
 
     def _pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if self.count > self.most:
-            self._forget()
+            self._thin()
         cut = pc.split_pattern(texts, " ")
         bounds = cut.offsets.to_numpy()
         coded = cut.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
