@@ -14,6 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def steady(value: Column) -> Column:
+    """The same value, computed where it is selected: filters on it aren't pushed below with all that it is made of."""
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
 def spare(df: DataFrame, *wanted: str) -> list[str]:
     """Names for new columns that clash with none of df's: the wanted ones, with underscores in front as needed."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from farness.llm.common import BLANKS, spare
+from farness.llm.common import BLANKS, spare, steady
 from farness.scratch import Scratch
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -101,6 +101,6 @@ def dedup_lines(
     return df.select(
         *[F.col(f"`{c}`") for c in docs.columns],
         F.size(lines).cast("long").alias(n_lines),
-        (F.size(lines) - F.size(row)).cast("long").alias(n_dropped),
+        steady(F.size(lines) - F.size(row)).cast("long").alias(n_dropped),
         F.concat_ws("\n", F.col(row)).alias(kept),
     )

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from farness.llm.common import slices
+from farness.llm.common import slices, steady
 from farness.llm.words import mix, shingle_sets
 from farness.operators.components import connected_components
 from farness.scratch import Scratch
@@ -149,7 +149,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, n: int, p
     sets = scratch.cut(_sets(needed.join(wanted, F.col("_key") == F.col("_id"), "left_semi"), "_key", "_text", n))
     own = lambda x: sets.select(F.col("id").alias(x), F.col("shingles").alias(f"s{x}"))
     both = pairs.join(own("a"), "a").join(own("b"), "b")
-    both = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("common"), (F.size("sa") + F.size("sb")).alias("sizes"))
+    both = both.select("a", "b", steady(F.size(F.array_intersect("sa", "sb"))).alias("common"), (F.size("sa") + F.size("sb")).alias("sizes"))
     return both.where(100 * F.col("common") >= percent * (F.col("sizes") - F.col("common"))).select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
 
 

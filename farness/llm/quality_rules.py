@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from farness.llm.common import BLANK_CLASS, BLANKS, spare
+from farness.llm.common import BLANK_CLASS, BLANKS, spare, steady
 
 #: Characters that count as symbols in the base counts.
 SYMBOLS = "#*$%&|<>"
@@ -140,5 +140,5 @@ def line_first(docs: DataFrame, text: str = "text", rules: LineRules = LineRules
     )
     failed = (F.col(out["n_words"]) < 50) | (100 * F.col(out["n_repeat_words"]) > 50 * F.col(out["n_words"]))
     df = df.select("*", failed.alias(out["base_failed"]))
-    df = df.select("*", (~F.col(out["base_failed"]) & (F.col(out["kept_chars"]) >= rules.min_kept * F.col(whole))).alias(out["kept"]))
+    df = df.select("*", steady(~F.col(out["base_failed"]) & (F.col(out["kept_chars"]) >= rules.min_kept * F.col(whole))).alias(out["kept"]))
     return df.select(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(f"`{out[x]}`") for x in names])
