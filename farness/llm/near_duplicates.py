@@ -6,10 +6,13 @@ candidates; the Jaccard similarity estimated from the registers, less the expect
 of them; the rest are confirmed on full shingle sets, so links are exact.
 
 Scale. Texts with the same shingle set form a class and only one representative of each goes on. Within a bucket no pairs are
-listed: all members meet a leader first; members that the confirmed links don't join yet meet in later rounds (small buckets
-pairwise, large ones with growing numbers of leaders), until every two members of a bucket either met or are joined. So no
-link between different components is lost, and a group of thousands of near copies costs as many rows as it has members.
-Components are found on tables; everything between steps is a table in the shared folder.
+listed: all members meet a leader first. What the confirmed links don't join yet goes on: small buckets meet pairwise. In large ones each member
+is told by its difference from the leader. Two members that link, of which one isn't joined with the leader, share more than
+about half of the other's difference, so they are found by a prefix filter on differences, the rarest shingles first. That holds
+for members at a distance of up to FAR from the leader; a link beyond has both ends further than FAR - (1 - threshold) away
+(the distance is a metric), and those few go through rounds with more leaders. So no link between different components is lost,
+and thousands of near copies cost about as many rows as they have edits. Components are found on tables; everything between
+steps is a table in the shared folder.
 """
 
 from __future__ import annotations
@@ -33,6 +36,8 @@ _EMPTY = 0xFFFF
 _CHANCE = 0.169919487159739093975315012348 * 4 / 2**MANTISSA
 #: Buckets of up to so many members meet pairwise in the second round.
 SMALL = 32
+#: Up to this Jaccard distance from the leader members are told by their differences from it.
+FAR = 0.5
 SIGNATURE = "doc_id long, n_shingles long, f1 long, f2 long, registers binary, bands array<long>"
 
 
@@ -142,11 +147,16 @@ def _sets(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
     return docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, "id long, shingles array<long>")
 
 
+def _needed_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, n: int) -> DataFrame:
+    """(id, shingles) of the documents whose id is in wanted's column _id."""
+    needed = docs.select(F.col(f"`{key}`").cast("long").alias("_key"), F.col(f"`{text}`").alias("_text"))
+    return _sets(needed.join(wanted, F.col("_key") == F.col("_id"), "left_semi"), "_key", "_text", n)
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, n: int, percent: int, scratch: Scratch) -> DataFrame:
     """Links (src, dst): pairs with 100 * intersection >= percent * union of the full sets."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
-    needed = docs.select(F.col(f"`{key}`").cast("long").alias("_key"), F.col(f"`{text}`").alias("_text"))
-    sets = scratch.cut(_sets(needed.join(wanted, F.col("_key") == F.col("_id"), "left_semi"), "_key", "_text", n))
+    sets = scratch.cut(_needed_sets(docs, wanted, key, text, n))
     own = lambda x: sets.select(F.col("id").alias(x), F.col("shingles").alias(f"s{x}"))
     both = pairs.join(own("a"), "a").join(own("b"), "b")
     both = both.select("a", "b", steady(F.size(F.array_intersect("sa", "sb"))).alias("common"), (F.size("sa") + F.size("sb")).alias("sizes"))
@@ -159,26 +169,56 @@ def _ordered(x: Column, y: Column) -> list[Column]:
 
 def _leaders(number: int) -> tuple[int, int]:
     """Places of the leaders of a large bucket that meet the others in this round: above the first, up to the second."""
-    return (1, 8) if number == 1 else (8 ** (number - 1), 8**number)
+    return (0, 8) if number == 1 else (8 ** (number - 1), 8**number)
+
+
+def _star(ranked: DataFrame) -> DataFrame:
+    """Pairs (a, b) of all members with their bucket's leader."""
+    return ranked.where("id <> lead").select(*_ordered(F.col("id"), F.col("lead"))).distinct()
 
 
 def _round(members: DataFrame, number: int) -> DataFrame:
-    """Pairs (a, b) that meet in this round. members: key, id, component, place (1 for the leader), n (members of the bucket).
+    """Pairs (a, b) of members that meet in this round. members: key, id, component, far, place, n (members of the bucket).
 
-    First all meet the leader. Then members of different components meet: in small buckets pairwise, in large ones each with
-    the next leaders. A leader meets all members behind it, by place and id, so in the end every two have met or are joined.
+    Members of different components meet, one of them far: in small buckets pairwise, in large ones each with the next leaders.
+    A leader meets all members behind it, by place and id, so in the end every two have met or are joined.
     """
-    x = members.select("key", F.col("id").alias("x"), F.col("component").alias("cx"), F.col("place").alias("px"))
-    y = members.select("key", F.col("id").alias("y"), F.col("component").alias("cy"), F.col("place").alias("py"), "n")
-    if number == 0:
-        pairs = x.where("px > 1").join(y.where("py = 1"), "key")
-    else:
-        above, to = _leaders(number)
-        lead = y.where(f"py > {above} AND py <= {to}" if number > 1 else f"py > {above} AND (n <= {SMALL} OR py <= {to})")
-        pairs = x.join(lead, "key").where("(px > py OR px = py AND x > y) AND cx <> cy")
+    x = members.select("key", F.col("id").alias("x"), F.col("component").alias("cx"), F.col("place").alias("px"), F.col("far").alias("fx"))
+    y = members.select("key", F.col("id").alias("y"), F.col("component").alias("cy"), F.col("place").alias("py"), F.col("far").alias("fy"), "n")
+    above, to = _leaders(number)
+    lead = y.where(f"py > {above} AND py <= {to}" if number > 1 else f"n <= {SMALL} OR py <= {to}")
+    pairs = x.join(lead, "key").where("(px > py OR px = py AND x > y) AND cx <> cy AND (fx OR fy)")
     return pairs.select(*_ordered(F.col("x"), F.col("y"))).distinct()
 
 
+def _differences(large: DataFrame, components: DataFrame, docs: DataFrame, key: str, text: str, n: int, scratch: Scratch) -> DataFrame:
+    """lead, id, component, root (the leader's component), size, lead_size, differs (the symmetric difference), distance."""
+    star = scratch.cut(large.where("id <> lead").select("lead", "id", "component").distinct())
+    wanted = star.select(F.explode(F.array("lead", "id")).alias("_id")).distinct()
+    sets = scratch.cut(_needed_sets(docs, wanted, key, text, n))
+    root = components.select(F.col("id").alias("lead"), F.col("component").alias("root"))
+    both = star.join(sets.select("id", "shingles"), "id").join(sets.select(F.col("id").alias("lead"), F.col("shingles").alias("of_lead")), "lead").join(root, "lead", "left")
+    differs = F.concat(F.array_except("shingles", "of_lead"), F.array_except("of_lead", "shingles"))
+    both = both.select("lead", "id", "component", F.coalesce("root", "lead").alias("root"), F.size("shingles").alias("size"), F.size("of_lead").alias("lead_size"), differs.alias("differs"))
+    return scratch.cut(both.withColumn("distance", 2 * F.size("differs") / (F.col("size") + F.col("lead_size") + F.size("differs"))))
+
+
+def _by_difference(near: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of different components, one not the leader's, that share enough of their differences to be linked.
+
+    With x not linked to the leader h, a link x-y means that they share more than (|y - h| + c (|h| - |y|)) / 2 of the shingles in which
+    they differ from h, c = (1 - threshold) / (1 + threshold). So one of the first |y - h| - that many in any order is shared.
+    """
+    c = (1 - threshold) / (1 + threshold)
+    need = F.floor((F.size("differs") + c * (F.col("lead_size") - F.col("size"))) / 2 - 1e-9) + 1
+    outer = near.where("component <> root").select("lead", F.col("id").alias("x"), F.col("component").alias("cx"), F.explode("differs").alias("e"))
+    often = outer.groupBy("lead", "e").agg(F.count("*").alias("f"))
+    all_of = near.select("lead", F.col("id").alias("y"), F.col("component").alias("cy"), (F.size("differs") - need + 1).cast("int").alias("first"), F.explode("differs").alias("e"))
+    listed = all_of.where("first > 0").join(often, ["lead", "e"], "left").groupBy("lead", "y", "cy", "first").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "e"))).alias("es"))
+    prefix = listed.select("lead", "y", "cy", F.explode(F.slice("es", 1, F.col("first"))).alias("s")).where("s.f > 0").select("lead", "y", "cy", F.col("s.e").alias("e"))
+    return prefix.join(outer, ["lead", "e"]).where("cx <> cy").select(*_ordered(F.col("x"), F.col("y"))).distinct()
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80, n: int = 5, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id, kept) for every row of docs.
 
@@ -199,18 +239,28 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     banded = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"))
     full = banded.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("other"), F.count("*").alias("n")).where("lead <> other")
     ranked = scratch.keep(banded.join(full, "key").select("key", "id", "lead", "n").distinct(), "members")
-    members = ranked.select("key", "id", F.col("id").alias("component"), F.when(F.col("id") == F.col("lead"), 1).otherwise(2).alias("place"), "n")
-
-    links, met, number, components = None, None, 0, None
-    while number == 0 or not members.isEmpty():
+    threshold = percent / 100
+    pairs = scratch.cut(_star(ranked))
+    met, links = pairs, scratch.cut(_confirmed(scratch.cut(_likely(pairs, reps, threshold)), docs, key, text, n, percent, scratch))
+    components = connected_components(links, scratch)
+    opened = scratch.cut(_open(ranked, components))
+    small = opened.where(f"n <= {SMALL}").select("key", "id", "component", F.lit(True).alias("far"))
+    large = opened.where(f"n > {SMALL}")
+    more = None
+    if not large.isEmpty():
+        told = _differences(large, components, docs, key, text, n, scratch)
+        more = _by_difference(told.where(F.col("distance") <= FAR), threshold)
+        beyond = told.where(F.col("distance") > FAR - (1 - threshold) - 1e-9).select("lead", "id", (F.col("distance") > FAR).alias("far"))
+        small = small.unionByName(large.join(beyond, ["lead", "id"]).select("key", "id", "component", "far"))
+    members, number = scratch.cut(_placed(small)), 1
+    while more is not None or not members.isEmpty():
         pairs = _round(members, number)
-        pairs = scratch.cut(pairs if met is None else pairs.join(met, ["a", "b"], "left_anti"))
-        found = scratch.cut(_confirmed(scratch.cut(_likely(pairs, reps, percent / 100)), docs, key, text, n, percent, scratch))
-        links = found if links is None else links.unionByName(found)
-        met = pairs if met is None else met.unionByName(pairs)
+        pairs = scratch.cut((pairs if more is None else pairs.unionByName(more).distinct()).join(met, ["a", "b"], "left_anti"))
+        found = scratch.cut(_confirmed(scratch.cut(_likely(pairs, reps, threshold)), docs, key, text, n, percent, scratch))
+        met, links, more, number = met.unionByName(pairs), links.unionByName(found), None, number + 1
         components = connected_components(links, scratch)
-        number += 1
-        members = scratch.cut(_open_members(ranked, components, number))
+        behind = members.where(f"n > {SMALL} AND n + 1 > {_leaders(number)[0]}").drop("component")
+        members = scratch.cut(behind.join(components, "id", "left").withColumn("component", F.coalesce("component", "id")).select("key", "id", "component", "far", "place", "n"))
     named = classes.join(components.withColumnRenamed("id", "class_id"), "class_id", "left")
     named = named.select("f1", "f2", "class_id", F.coalesce("component", "class_id").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "f1", "f2").join(named, ["f1", "f2"], "left")
@@ -220,14 +270,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     )
 
 
-def _open_members(ranked: DataFrame, components: DataFrame, number: int) -> DataFrame:
-    """The members of buckets that have several components and haven't all met before this round.
-
-    A member's place among the leaders to come is its hash, up to the bucket's size; of equal places the ids decide.
-    """
-    if number > 1:
-        ranked = ranked.where(f"n > {SMALL} AND n + 1 > {_leaders(number)[0]}")
+def _open(ranked: DataFrame, components: DataFrame) -> DataFrame:
+    """The members of buckets that have several components, with their component."""
     now = ranked.join(components, "id", "left").select("key", "id", "lead", "n", F.coalesce("component", "id").alias("component"))
     mixed = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    place = F.when(F.col("id") == F.col("lead"), F.lit(1)).otherwise(F.pmod(F.xxhash64("id", "key"), F.col("n")) + 2)
-    return now.join(mixed, "key", "left_semi").select("key", "id", "component", place.cast("long").alias("place"), "n")
+    return now.join(mixed, "key", "left_semi")
+
+
+def _placed(members: DataFrame) -> DataFrame:
+    """Members of buckets where some are far, with n (members left in the bucket) and a place among the leaders to come, by hash."""
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.max("far").alias("some")).where("some AND n > 1").select("key", "n")
+    return members.join(sizes, "key").select("key", "id", "component", "far", (F.pmod(F.xxhash64("id", "key"), F.col("n")) + 2).cast("long").alias("place"), "n")
