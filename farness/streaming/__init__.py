@@ -1 +1,78 @@
+"""Edge updates: batches applied to a graph, the sources they affect, and a Structured Streaming adapter."""
 
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from farness.graph import Graph
+from farness.operators.components import connected_components
+from farness.operators.traverse import bfs_pairs, msbfs_sums
+from farness.plans import closeness
+from farness.scratch import Scratch
+
+
+def apply_updates(graph: Graph, updates: DataFrame) -> Graph:
+    """The graph after updates (op 'insert' or 'delete', src, dst and, if weighted, weight): deletes first, of all parallel edges.
+
+    Undirected edges are deleted in either direction; the ends of inserted edges become vertices.
+    """
+    gone = updates.where("op = 'delete'").select("src", "dst")
+    if not graph.directed:
+        gone = gone.unionByName(gone.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    new = updates.where("op = 'insert'").select("src", "dst", *(["weight"] * graph.weighted))
+    vertices = graph.vertices.select("id").unionByName(new.select(F.explode(F.array("src", "dst")).alias("id"))).distinct()
+    return Graph(vertices, graph.edges.join(gone.distinct(), ["src", "dst"], "left_anti").unionByName(new), graph.directed)
+
+
+def affected_sources(graph: Graph, u, v, scratch: Scratch) -> DataFrame:
+    """(id) of the sources whose distances may change when the undirected edge u-v comes: those at distances to u and v that differ
+    by more than one, or that reach just one of them."""
+    ends = graph.vertices.where(F.col("id").isin(u, v))
+    pairs = bfs_pairs(scratch.cut(graph.canonical().arcs()), ends, scratch)
+    to = pairs.groupBy(F.col("v").alias("id")).agg(F.min(F.when(F.col("source") == u, F.col("d"))).alias("du"), F.min(F.when(F.col("source") == v, F.col("d"))).alias("dv"))
+    return to.where("du IS NULL OR dv IS NULL OR abs(du - dv) > 1").select("id")
+
+
+def refreshed(graph: Graph, before: DataFrame, updates: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, r, d) of an undirected graph after updates, traversing only components that an update touches.
+
+    before: (id, r, d) of the graph before. The others' rows are taken over.
+    """
+    after = apply_updates(graph, updates).canonical()
+    after = Graph(scratch.cut(after.vertices), scratch.cut(after.edges))
+    of = scratch.cut(after.vertices.join(connected_components(after.edges, scratch), "id", "left").select("id", F.coalesce("component", "id").alias("component")))
+    touched = updates.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    comps = of.join(touched, "id", "left_semi").select("component").distinct()
+    again = scratch.cut(of.join(comps, "component", "left_semi").select("id"))
+    arcs = after.arcs()
+    inside = scratch.cut(arcs.join(again.withColumnRenamed("id", "src"), "src", "left_semi"))
+    new = msbfs_sums(inside, again, scratch)
+    old = of.select("id").join(again, "id", "left_anti").join(before.select("id", "r", "d"), "id", "left")
+    return new.unionByName(old.select("id", F.coalesce("r", F.lit(0).cast("long")).alias("r"), F.coalesce("d", F.lit(0).cast("long")).alias("d")))
+
+
+class UpdateStream:
+    """Applies each micro-batch of an update stream and hands the closeness of the graph after it to a sink.
+
+    The edges after each batch are a table in the shared folder, named by the batch, so a batch run again gives the same result.
+    """
+
+    def __init__(self, graph: Graph, sink: Callable[[DataFrame, int], None], method: str = "bits", normalization: str | None = None):
+        self.graph, self.sink, self.method, self.normalization = graph, sink, method, normalization
+        self.scratch = Scratch(graph.vertices.sparkSession, "updates")
+        self.done = -1
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        if number <= self.done:
+            return
+        after = apply_updates(self.graph, batch)
+        kept = Graph(self.scratch.cut(after.vertices), self.scratch.cut(after.edges), after.directed)
+        self.sink(closeness(kept, self.method, self.normalization), number)
+        self.graph, self.done = kept, number
+
+    def start(self, updates: DataFrame, checkpoint: str, **trigger):
+        """Starts a query over a streaming DataFrame of updates."""
+        return updates.writeStream.foreachBatch(self).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
