@@ -17,7 +17,7 @@ def _mark(edges: DataFrame) -> tuple:
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One step over edges (src > dst, distinct). Large: greater neighbours to the least one; small: the rest likewise."""
+    """One step over edges (src > dst, distinct). Large: greater neighbours to the least one; small: the rest likewise, each edge once."""
     ways = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))) if large else edges
     least = ways.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("root"))
     joined = ways.join(least, "src")
@@ -25,7 +25,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         out = joined.where("dst > src").select(F.col("dst").alias("src"), F.col("root").alias("dst"))
     else:
         out = joined.select(F.explode(F.array("src", "dst")).alias("src"), F.col("root").alias("dst"))
-    return out.where("src > dst").distinct()
+    out = out.where("src > dst")
+    return out if large else out.distinct()
 
 
 def connected_components(edges: DataFrame, scratch: Scratch | None = None, src: str = "src", dst: str = "dst") -> DataFrame:
