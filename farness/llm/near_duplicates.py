@@ -34,8 +34,8 @@ _REST = 64 - (REGISTERS.bit_length() - 1)
 _EMPTY = 0xFFFF
 #: Chance that two independent registers agree, times the share of mantissa (the constant of the published estimator times 4).
 _CHANCE = 0.169919487159739093975315012348 * 4 / 2**MANTISSA
-#: Buckets of up to so many members meet pairwise in the second round.
-SMALL = 32
+#: Buckets of up to so many members meet pairwise in the second round; larger ones by so many leaders, 16 times as many in each round.
+SMALL = 64
 #: Up to this Jaccard distance from the leader members are told by their differences from it.
 FAR = 0.5
 SIGNATURE = "doc_id long, n_shingles long, f1 long, f2 long, registers binary, bands array<long>"
@@ -169,7 +169,7 @@ def _ordered(x: Column, y: Column) -> list[Column]:
 
 def _leaders(number: int) -> tuple[int, int]:
     """Places of the leaders of a large bucket that meet the others in this round: above the first, up to the second."""
-    return (0, 8) if number == 1 else (8 ** (number - 1), 8**number)
+    return (0, SMALL) if number == 1 else (SMALL * 16 ** (number - 2), SMALL * 16 ** (number - 1))
 
 
 def _star(ranked: DataFrame) -> DataFrame:
@@ -177,18 +177,20 @@ def _star(ranked: DataFrame) -> DataFrame:
     return ranked.where("id <> lead").select(*_ordered(F.col("id"), F.col("lead"))).distinct()
 
 
-def _round(members: DataFrame, number: int) -> DataFrame:
-    """Pairs (a, b) of members that meet in this round. members: key, id, component, far, place, n (members of the bucket).
+def _round(members: DataFrame, number: int, threshold: float) -> DataFrame:
+    """Pairs (a, b) of members that meet in this round. members: key, id, size, component, far, distance, place, n (of the bucket).
 
     Members of different components meet, one of them far: in small buckets pairwise, in large ones each with the next leaders.
-    A leader meets all members behind it, by place and id, so in the end every two have met or are joined.
+    A leader meets all members behind it, by place and id, so in the end every two have met or are joined. Pairs that can't link
+    don't meet: those whose sizes, or distances from one leader, differ by too much.
     """
-    x = members.select("key", F.col("id").alias("x"), F.col("component").alias("cx"), F.col("place").alias("px"), F.col("far").alias("fx"))
-    y = members.select("key", F.col("id").alias("y"), F.col("component").alias("cy"), F.col("place").alias("py"), F.col("far").alias("fy"), "n")
+    side = lambda x: members.select("key", F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("size", "component", "far", "distance", "place")), *(["n"] if x == "y" else []))
     above, to = _leaders(number)
-    lead = y.where(f"py > {above} AND py <= {to}" if number > 1 else f"n <= {SMALL} OR py <= {to}")
-    pairs = x.join(lead, "key").where("(px > py OR px = py AND x > y) AND cx <> cy AND (fx OR fy)")
-    return pairs.select(*_ordered(F.col("x"), F.col("y"))).distinct()
+    lead = side("y").where(f"place_y > {above} AND place_y <= {to}" if number > 1 else f"n <= {SMALL} OR place_y <= {to}")
+    order = "(place_x > place_y OR place_x = place_y AND x > y) AND component_x <> component_y AND (far_x OR far_y)"
+    sizes = f"size_x >= {threshold - 1e-9} * size_y AND size_y >= {threshold - 1e-9} * size_x"
+    near = f"coalesce(abs(distance_x - distance_y) <= {1 - threshold + 1e-9}, true)"
+    return side("x").join(lead, "key").where(f"{order} AND {sizes} AND {near}").select(*_ordered(F.col("x"), F.col("y"))).distinct()
 
 
 def _differences(large: DataFrame, components: DataFrame, docs: DataFrame, key: str, text: str, n: int, scratch: Scratch) -> DataFrame:
@@ -235,32 +237,37 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     usable = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = scratch.keep(usable.groupBy("f1", "f2").agg(F.min("doc_id").alias("class_id")), "classes")
     own = classes.select(F.col("class_id").alias("doc_id"), "f1", "f2")
-    reps = scratch.keep(usable.join(own, ["doc_id", "f1", "f2"], "left_semi"), "reps")
-    banded = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"))
-    full = banded.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("other"), F.count("*").alias("n")).where("lead <> other")
-    ranked = scratch.keep(banded.join(full, "key").select("key", "id", "lead", "n").distinct(), "members")
+    reps = scratch.keep(usable.join(own, ["doc_id", "f1", "f2"], "left_semi").dropDuplicates(["doc_id", "f1", "f2"]), "reps")
+    banded = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"), F.col("n_shingles").cast("int").alias("size"))
+    full = banded.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("other"), F.count("*").alias("n")).where("lead <> other").drop("other")
+    ranked = scratch.keep(banded.join(full, "key"), "members")
     threshold = percent / 100
-    pairs = scratch.cut(_star(ranked))
-    met, links = pairs, scratch.cut(_confirmed(scratch.cut(_likely(pairs, reps, threshold)), docs, key, text, n, percent, scratch))
+
+    def link(pairs: DataFrame) -> DataFrame:
+        return scratch.cut(_confirmed(scratch.cut(_likely(pairs, reps, threshold)), docs, key, text, n, percent, scratch))
+
+    links = link(scratch.cut(_star(ranked)))
     components = connected_components(links, scratch)
     opened = scratch.cut(_open(ranked, components))
-    small = opened.where(f"n <= {SMALL}").select("key", "id", "component", F.lit(True).alias("far"))
-    large = opened.where(f"n > {SMALL}")
-    more = None
+    left = ["key", "id", "size", "component", "far", "distance"]
+    members = opened.where(f"n <= {SMALL}").withColumn("far", F.lit(True)).withColumn("distance", F.lit(None).cast("double")).select(*left)
+    large, more = opened.where(f"n > {SMALL}"), None
     if not large.isEmpty():
         told = _differences(large, components, docs, key, text, n, scratch)
         more = _by_difference(told.where(F.col("distance") <= FAR), threshold)
-        beyond = told.where(F.col("distance") > FAR - (1 - threshold) - 1e-9).select("lead", "id", (F.col("distance") > FAR).alias("far"))
-        small = small.unionByName(large.join(beyond, ["lead", "id"]).select("key", "id", "component", "far"))
-    members, number = scratch.cut(_placed(small)), 1
+        beyond = told.where(F.col("distance") > FAR - (1 - threshold) - 1e-9).select("lead", "id", (F.col("distance") > FAR).alias("far"), "distance")
+        members = members.unionByName(large.join(beyond, ["lead", "id"]).select(*left))
+    members, number = scratch.cut(_placed(members)), 1
     while more is not None or not members.isEmpty():
-        pairs = _round(members, number)
-        pairs = scratch.cut((pairs if more is None else pairs.unionByName(more).distinct()).join(met, ["a", "b"], "left_anti"))
-        found = scratch.cut(_confirmed(scratch.cut(_likely(pairs, reps, threshold)), docs, key, text, n, percent, scratch))
-        met, links, more, number = met.unionByName(pairs), links.unionByName(found), None, number + 1
-        components = connected_components(links, scratch)
-        behind = members.where(f"n > {SMALL} AND n + 1 > {_leaders(number)[0]}").drop("component")
-        members = scratch.cut(behind.join(components, "id", "left").withColumn("component", F.coalesce("component", "id")).select("key", "id", "component", "far", "place", "n"))
+        pairs = _round(members, number, threshold)
+        pairs = scratch.cut(pairs if more is None else pairs.unionByName(more).distinct())
+        more, number = None, number + 1
+        members = members.where(f"n > {SMALL} AND n > {_leaders(number)[0]}")
+        if not pairs.isEmpty() and not (found := link(pairs)).isEmpty():
+            links = links.unionByName(found)
+            components = connected_components(links, scratch)
+            renamed = members.drop("component").join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
+            members = scratch.cut(renamed.select(*members.columns))
     named = classes.join(components.withColumnRenamed("id", "class_id"), "class_id", "left")
     named = named.select("f1", "f2", "class_id", F.coalesce("component", "class_id").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "f1", "f2").join(named, ["f1", "f2"], "left")
@@ -272,7 +279,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
 
 def _open(ranked: DataFrame, components: DataFrame) -> DataFrame:
     """The members of buckets that have several components, with their component."""
-    now = ranked.join(components, "id", "left").select("key", "id", "lead", "n", F.coalesce("component", "id").alias("component"))
+    now = ranked.join(components, "id", "left").select("key", "id", "size", "lead", "n", F.coalesce("component", "id").alias("component"))
     mixed = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     return now.join(mixed, "key", "left_semi")
 
@@ -280,4 +287,5 @@ def _open(ranked: DataFrame, components: DataFrame) -> DataFrame:
 def _placed(members: DataFrame) -> DataFrame:
     """Members of buckets where some are far, with n (members left in the bucket) and a place among the leaders to come, by hash."""
     sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.max("far").alias("some")).where("some AND n > 1").select("key", "n")
-    return members.join(sizes, "key").select("key", "id", "component", "far", (F.pmod(F.xxhash64("id", "key"), F.col("n")) + 2).cast("long").alias("place"), "n")
+    place = (F.pmod(F.xxhash64("id", "key"), F.col("n")) + 1).cast("long").alias("place")
+    return members.join(sizes, "key").select(*members.columns, place, "n")
