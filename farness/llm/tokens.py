@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from farness.llm.words import span_hashes
+
 #: Runs of white space in which a space that isn't the first is followed by white space or the end.
 SPACES = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 JOINED = rf"{SPACES} (?:{SPACES}|$)"
@@ -44,13 +46,16 @@ def _parts(spec: dict | None, key: str) -> list[dict]:
 
 
 class PieceEncoder:
-    """encode(texts) for Arrow string arrays; remembers about `most` pieces, then only the half that most slices had."""
+    """encode(texts) for Arrow string arrays; remembers about `most` pieces, then only the half that was used last.
+
+    What is remembered of a piece are 128 bits of its hash and where its ids lie: some 50 bytes.
+    """
 
-    def __init__(self, path: str, most: int = 350_000):
+    def __init__(self, path: str, most: int = 3_000_000, most_atoms: int = 200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.tokenizer, self.most, self.most_atoms = Tokenizer.from_file(path), most, most_atoms
         with open(path) as f:
             spec = json.load(f)
         steps = _parts(spec.get("pre_tokenizer"), "pretokenizers")
@@ -80,7 +85,7 @@ class PieceEncoder:
             ids = self.atoms.get(atom)
             if ids is None:
                 ids = self._letters(atom) if atom[-1].isalpha() else self.tokenizer.encode(atom, add_special_tokens=False).ids
-                if len(self.atoms) >= self.most:
+                if len(self.atoms) >= self.most_atoms:
                     self.atoms.clear()
                 self.atoms[atom] = ids
             out += ids
@@ -91,28 +96,22 @@ class PieceEncoder:
         return ids(" ") == [] and ids("a b") == ids("a") + ids("b") == ids(" a  b ")
 
     def _forget(self) -> None:
-        self.place: dict[str, int] = {}
         self.atoms: dict[str, list[int]] = {}
-        self.count, self.used = 0, 0
-        self.starts, self.sizes, self.hits = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
-        self.store = np.zeros(1 << 16, np.uint32)
+        #: Sorted by `known`, the first half of the hash; `check` is the second.
+        self.known, self.check = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.starts, self.sizes, self.used_in = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.store, self.used, self.slice = np.zeros(1 << 16, np.uint32), 0, 0
 
     def _thin(self) -> None:
-        """Keeps the pieces with the most hits, those of several slices only, half of `most` at most."""
-        hits = self.hits[: self.count]
-        floor = max(2, int(np.partition(hits, self.count - self.most // 2)[self.count - self.most // 2]) + 1)
-        keep = np.flatnonzero(hits >= floor)
-        sizes = self.sizes[keep]
-        ends = np.cumsum(sizes)
-        store = self.store[np.repeat(self.starts[keep] - (ends - sizes), sizes) + np.arange(int(sizes.sum()))]
-        new = np.full(self.count, -1)
-        new[keep] = np.arange(keep.size)
-        self.place = {k: int(new[i]) for k, i in self.place.items() if new[i] >= 0}
-        self.count, self.used, self.store = keep.size, int(sizes.sum()), store
-        self.starts, self.sizes, self.hits = ends - sizes, sizes, hits[keep] // 2
-
-    def _add(self, keys: list[str]) -> None:
-        """Encodes keys that aren't known yet; a key is a piece with its space in front, if any."""
+        """Keeps the half of the pieces that was used last."""
+        keep = np.flatnonzero(self.used_in > np.partition(self.used_in, self.known.size // 2)[self.known.size // 2])
+        ends = np.cumsum(self.sizes[keep], dtype=np.int64)
+        begin = ends - self.sizes[keep]
+        total = int(ends[-1]) if keep.size else 0
+        self.store = self.store[np.repeat(self.starts[keep] - begin, self.sizes[keep]) + np.arange(total)]
+        self.known, self.check, self.sizes, self.used_in, self.starts, self.used = self.known[keep], self.check[keep], self.sizes[keep], self.used_in[keep], begin, total
+
+    def _ids(self, keys: list[str]) -> list[list[int]]:
         if self.plain:
             lists = [self._composed(k) if _SIMPLE(k) else None for k in keys]
             other = [i for i, ids in enumerate(lists) if ids is None]
@@ -120,25 +119,30 @@ class PieceEncoder:
             lists, other = [None] * len(keys), range(len(keys))
         for i, x in zip(other, self.tokenizer.encode_batch_fast([keys[i] for i in other], add_special_tokens=False), strict=True):
             lists[i] = x.ids
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        to, end = self.count + len(keys), self.used + int(sizes.sum())
-        for name, n in (("starts", to), ("sizes", to), ("hits", to), ("store", end)):
-            if (old := getattr(self, name)).size < n:
-                setattr(self, name, np.concatenate([old, np.zeros(max(n - old.size, old.size), old.dtype)]))
-        self.sizes[self.count : to] = sizes
-        self.starts[self.count : to] = self.used + np.cumsum(sizes) - sizes
-        self.store[self.used : end] = np.fromiter((i for x in lists for i in x), np.uint32, end - self.used)
-        self.hits[self.count : to] = 0
-        self.place.update(zip(keys, range(self.count, to), strict=True))
-        self.count, self.used = to, end
-
-    def _places(self, keys: list[str]) -> np.ndarray:
-        known = self.place
-        if missing := [k for k in keys if k not in known]:
-            self._add(missing)
-        places = np.fromiter(map(known.__getitem__, keys), np.int64, len(keys))
-        self.hits[places] += 1
-        return places
+        return lists
+
+    def _places(self, hashes: tuple[np.ndarray, np.ndarray], keys) -> tuple[np.ndarray, np.ndarray]:
+        """(start, size) in the store for pieces by their hashes; keys(at) gives those pieces themselves that aren't known."""
+        one, two = hashes
+        at = np.searchsorted(self.known, one)
+        inside = np.minimum(at, max(0, self.known.size - 1))
+        new = np.flatnonzero((self.known[inside] != one) | (self.check[inside] != two)) if self.known.size else np.arange(one.size)
+        if new.size:
+            new = new[np.argsort(one[new], kind="stable")]
+            lists = self._ids(keys(new))
+            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+            end = self.used + int(sizes.sum())
+            if self.store.size < end:
+                self.store = np.concatenate([self.store, np.zeros(max(end - self.store.size, self.store.size // 2), np.uint32)])
+            self.store[self.used : end] = np.fromiter((i for x in lists for i in x), np.uint32, end - self.used)
+            rows = {"known": one[new], "check": two[new], "starts": self.used + np.cumsum(sizes) - sizes, "sizes": sizes, "used_in": np.zeros(new.size, np.int32)}
+            where = np.searchsorted(self.known, one[new])
+            for name, values in rows.items():
+                setattr(self, name, np.insert(getattr(self, name), where, values))
+            self.used = end
+            at = np.searchsorted(self.known, one)
+        self.used_in[at] = self.slice
+        return self.starts[at], self.sizes[at].astype(np.int64)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, offsets of each text in them); null is as empty."""
@@ -164,21 +168,25 @@ class PieceEncoder:
         return np.fromiter((i for x in lists for i in x), np.uint32, int(offsets[-1])), offsets
 
     def _pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        if self.count > self.most:
+        if self.known.size > self.most:
             self._thin()
+        self.slice += 1
         cut = pc.split_pattern(texts, " ")
         bounds = cut.offsets.to_numpy()
         coded = cut.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
-        codes, keys, bounds = coded.indices.to_numpy(), coded.dictionary.to_pylist(), bounds - bounds[0]
+        codes, pieces, bounds = coded.indices.to_numpy(), coded.dictionary, bounds - bounds[0]
+        _, offsets, raw = pieces.buffers()
+        offsets = np.frombuffer(offsets, np.int64)[pieces.offset : pieces.offset + len(pieces) + 1]
+        one, two = span_hashes(np.frombuffer(raw or b"", np.uint8)[: offsets[-1]], offsets)
         if self.kind == "spaced":
+            starts, sizes = (x[codes] for x in self._places((one, two), lambda at: [f" {k}" for k in pieces.take(pa.array(at)).to_pylist()]))
             firsts, back = np.unique(codes[bounds[:-1]], return_inverse=True)
-            places = self._places([f" {k}" for k in keys])[codes]
-            places[bounds[:-1]] = self._places([keys[i] for i in firsts])[back]
+            bare = self._places((~one[firsts], two[firsts]), lambda at: pieces.take(pa.array(firsts[at])).to_pylist())
+            starts[bounds[:-1]], sizes[bounds[:-1]] = bare[0][back], bare[1][back]
         else:
-            places = self._places(keys)[codes]
-        sizes = self.sizes[places]
+            starts, sizes = (x[codes] for x in self._places((one, two), lambda at: pieces.take(pa.array(at)).to_pylist()))
         ends = np.cumsum(sizes)
-        at = np.repeat(self.starts[places] - (ends - sizes), sizes) + np.arange(int(ends[-1]))
+        at = np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]))
         return self.store[at], np.concatenate([[0], ends])[bounds]
 
 

@@ -61,6 +61,21 @@ def words(buffer: np.ndarray, starts: np.ndarray, keep: np.ndarray | None = None
     return mix((sums[last] - sums[first]) * down[first]), np.searchsorted(first, starts)
 
 
+_OTHER_BYTES = mix(_BYTES + np.uint64(0xA0761D6478BD642F))
+
+
+def span_hashes(buffer: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each span of the buffer between two offsets, as the bytes are."""
+    up, down = _power_tables(buffer.size + 1)
+    first, last = offsets[:-1], offsets[1:]
+    out = []
+    for table in (_BYTES, _OTHER_BYTES):
+        sums = np.zeros(buffer.size + 1, np.uint64)
+        np.cumsum(table[buffer] * up[: buffer.size], out=sums[1:])
+        out.append(mix((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64)))
+    return out[0], out[1]
+
+
 _PLACES = mix(np.arange(11, 11 + 64, dtype=np.uint64)) | np.uint64(1)
 
 
