@@ -126,7 +126,9 @@ class SeedIndex:
     def held(self, hashes: np.ndarray, bounds: np.ndarray):
         """Yields (document, item, matched words, first word) of the items that documents hold."""
         rows, rule = self.diagonals(hashes, bounds), self.rule
-        pairs = np.flatnonzero(np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)])) if rows.size else np.zeros(0, int)
+        if not rows.size:
+            return
+        pairs = np.flatnonzero(np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)]))
         for a, b in zip(pairs, [*pairs[1:], len(rows)], strict=True):
             doc, k = int(rows[a, 0]), int(rows[a, 1])
             own, item = hashes[bounds[doc] : bounds[doc + 1]], self.items[k]
