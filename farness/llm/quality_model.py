@@ -57,8 +57,10 @@ def features(texts: pa.Array, cut: Passages) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.diff(np.concatenate([begin, [buffer.size]]))
     of = np.repeat(np.arange(part.size), lengths)
     classes = _CLASS[buffer].astype(np.int64)
-    code = of * (N_CLASSES * N_CLASSES) + classes * N_CLASSES
-    code[:-1] += classes[1:]
+    # a text's last byte is the line feed behind it, which nothing follows
+    after = np.append(classes[1:], 0)
+    after[starts[1:] - 1] = _CLASS[10]
+    code = of * (N_CLASSES * N_CLASSES) + classes * N_CLASSES + after
     grams = np.bincount(code, minlength=part.size * N_CLASSES * N_CLASSES).reshape(part.size, -1)
     hashes, word_bounds = words(buffer, begin)
     counts = np.diff(np.concatenate([word_bounds, [hashes.size]]))
