@@ -108,6 +108,8 @@ def scan_licences(docs: DataFrame, text: str = "text") -> DataFrame:
         marks.append(F.when(hit, F.lit(f"{licence}:{category}")))
     some = (F.col(lines) != "") | (F.col(wrapped) != "")
     df = df.select("*", F.when(some, F.array_distinct(F.array_compact(F.array(*marks)))).otherwise(F.array().cast("array<string>")).alias(found))
+    # sentences of no named licence count only where there is no other
+    df = df.withColumn(found, F.when(F.size(found) > 1, F.array_remove(found, "unnamed:other")).otherwise(F.col(found)))
     category = F.lit("none")
     ends = lambda c: lambda x: F.endswith(x, F.lit(f":{c}"))
     for c in reversed(CATEGORIES):

@@ -33,7 +33,8 @@ names(x, id) AS (VALUES {_names}),
 {_seq(r"regexp_replace(regexp_replace(t, '\n[ \t\r]*\n', '. ', 'g'), '\n', ' ', 'g')", "p")},
 s AS (SELECT d.doc_id, coalesce(l.s, '') ls, coalesce(p.s, '') ps FROM d LEFT JOIN l USING (doc_id) LEFT JOIN p USING (doc_id)),
 m AS (SELECT doc_id, ls, ps, list_filter([{_marks}], lambda x: x IS NOT NULL) m FROM s),
-u AS (SELECT doc_id, ls, ps, list_filter(m, lambda x, i: list_position(m, x) = i) m FROM m)
+v AS (SELECT doc_id, ls, ps, list_filter(m, lambda x, i: list_position(m, x) = i) m FROM m),
+u AS (SELECT doc_id, ls, ps, list_filter(m, lambda x: len(m) = 1 OR x <> 'unnamed:other') m FROM v)
 SELECT doc_id, trim(replace(ls, '  ', ',')) line_ids, trim(replace(ps, '  ', ',')) paragraph_ids,
   coalesce(array_to_string(list_transform(m, lambda x: split_part(x, ':', 1)), ','), '') licences, CASE {_first} ELSE 'none' END category FROM u
 """
