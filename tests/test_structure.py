@@ -16,14 +16,15 @@ from farness.sources import generate
 from tests.graphs import WHEEL, components_without, frame, random_edges
 
 
-def test_components(spark):
+@pytest.mark.parametrize("local_edges", [1000, -1])
+def test_components(spark, local_edges):
     edges = random_edges(3, 40, 25)
-    got = {r.id: r.component for r in connected_components(frame(spark, 40, edges).edges).collect()}
+    got = {r.id: r.component for r in connected_components(frame(spark, 40, edges).edges, local_edges=local_edges).collect()}
     want = components_without(40, edges)
     assert all(got.get(v, v) == want[v] for v in range(40))
     path = [(i, i + 1) for i in range(60)]
-    assert {r.component for r in connected_components(frame(spark, 61, path).edges).collect()} == {0}
-    assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
+    assert {r.component for r in connected_components(frame(spark, 61, path).edges, local_edges=local_edges).collect()} == {0}
+    assert connected_components(spark.createDataFrame([], "src long, dst long"), local_edges=local_edges).count() == 0
 
 
 @pytest.mark.parametrize("local_edges", [1000, 0])
