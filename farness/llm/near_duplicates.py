@@ -6,13 +6,13 @@ candidates; the Jaccard similarity estimated from the registers, less the expect
 of them; the rest are confirmed on full shingle sets, so links are exact.
 
 Scale. Texts with the same shingle set form a class and only one representative of each goes on. Within a bucket no pairs are
-listed: all members meet a leader first. What the confirmed links don't join yet goes on: small buckets meet pairwise. In large ones each member
-is told by its difference from the leader. Two members that link, of which one isn't joined with the leader, share more than
-about half of the other's difference, so they are found by a prefix filter on differences, the rarest shingles first. That holds
-for members at a distance of up to FAR from the leader; a link beyond has both ends further than FAR - (1 - threshold) away
-(the distance is a metric), and those few go through rounds with more leaders. So no link between different components is lost,
-and thousands of near copies cost about as many rows as they have edits. Components are found on tables; everything between
-steps is a table in the shared folder.
+listed: all members meet a leader first. What the confirmed links don't join yet goes on: small buckets meet pairwise. In larger ones each member
+is told by its difference from a reference, the text with the most links in the bucket's largest component, with which it meets. Two members
+that link, of which one isn't linked to the reference, share more than about half of the other's difference, so they are found by a
+prefix filter on differences, the rarest shingles first. That holds for members at a distance of up to FAR from the reference; a
+link beyond has both ends further than FAR - (1 - threshold) away (the distance is a metric), and those few go through rounds
+of leaders. So no link between different components is lost, and thousands of near copies cost about as many rows as they have
+edits. Components are found on tables; everything between steps is a table in the shared folder.
 """
 
 from __future__ import annotations
@@ -34,9 +34,9 @@ _REST = 64 - (REGISTERS.bit_length() - 1)
 _EMPTY = 0xFFFF
 #: Chance that two independent registers agree, times the share of mantissa (the constant of the published estimator times 4).
 _CHANCE = 0.169919487159739093975315012348 * 4 / 2**MANTISSA
-#: Buckets of up to so many members meet pairwise in the second round; larger ones by so many leaders, 16 times as many in each round.
-SMALL = 64
-#: Up to this Jaccard distance from the leader members are told by their differences from it.
+#: Buckets of up to so many members meet pairwise in the second round; larger ones by eight times as many leaders, 16 times as many in each round.
+SMALL = 8
+#: Up to this Jaccard distance from the reference members are told by their differences from it.
 FAR = 0.5
 SIGNATURE = "doc_id long, n_shingles long, f1 long, f2 long, registers binary, bands array<long>"
 
@@ -169,7 +169,7 @@ def _ordered(x: Column, y: Column) -> list[Column]:
 
 def _leaders(number: int) -> tuple[int, int]:
     """Places of the leaders of a large bucket that meet the others in this round: above the first, up to the second."""
-    return (0, SMALL) if number == 1 else (SMALL * 16 ** (number - 2), SMALL * 16 ** (number - 1))
+    return (0, 8 * SMALL) if number == 1 else (8 * SMALL * 16 ** (number - 2), 8 * SMALL * 16 ** (number - 1))
 
 
 def _star(ranked: DataFrame) -> DataFrame:
@@ -186,39 +186,49 @@ def _round(members: DataFrame, number: int, threshold: float) -> DataFrame:
     """
     side = lambda x: members.select("key", F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("size", "component", "far", "distance", "place")), *(["n"] if x == "y" else []))
     above, to = _leaders(number)
-    lead = side("y").where(f"place_y > {above} AND place_y <= {to}" if number > 1 else f"n <= {SMALL} OR place_y <= {to}")
+    lead = side("y").where(f"place_y > {above} AND place_y <= {to}")
     order = "(place_x > place_y OR place_x = place_y AND x > y) AND component_x <> component_y AND (far_x OR far_y)"
     sizes = f"size_x >= {threshold - 1e-9} * size_y AND size_y >= {threshold - 1e-9} * size_x"
     near = f"coalesce(abs(distance_x - distance_y) <= {1 - threshold + 1e-9}, true)"
     return side("x").join(lead, "key").where(f"{order} AND {sizes} AND {near}").select(*_ordered(F.col("x"), F.col("y"))).distinct()
 
 
-def _differences(large: DataFrame, components: DataFrame, docs: DataFrame, key: str, text: str, n: int, scratch: Scratch) -> DataFrame:
-    """lead, id, component, root (the leader's component), size, lead_size, differs (the symmetric difference), distance."""
-    star = scratch.cut(large.where("id <> lead").select("lead", "id", "component").distinct())
-    wanted = star.select(F.explode(F.array("lead", "id")).alias("_id")).distinct()
+def _referred(large: DataFrame, links: DataFrame) -> DataFrame:
+    """large plus root (the largest component in the bucket, the least of equal ones) and ref (its vertex with the most links)."""
+    ends = links.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
+    of = large.select("id", "component").distinct().join(ends, "id", "left")
+    hubs = of.groupBy(F.col("component").alias("root")).agg(F.min(F.struct(-F.coalesce("links", F.lit(0)), "id")).alias("hub")).select("root", F.col("hub.id").alias("ref"))
+    shares = large.groupBy("key", "component").agg(F.count("*").alias("k"))
+    roots = shares.groupBy("key").agg(F.min(F.struct((-F.col("k")).alias("k"), "component")).alias("most")).select("key", F.col("most.component").alias("root"))
+    return large.join(roots.join(hubs, "root"), "key")
+
+
+def _differences(large: DataFrame, docs: DataFrame, key: str, text: str, n: int, percent: int, scratch: Scratch) -> DataFrame:
+    """ref, id, component, root, size, ref_size, differs (the symmetric difference), distance, linked, for members and their references."""
+    star = scratch.cut(large.where("id <> ref").select("ref", "id", "component", "root").distinct())
+    wanted = star.select(F.explode(F.array("ref", "id")).alias("_id")).distinct()
     sets = scratch.cut(_needed_sets(docs, wanted, key, text, n))
-    root = components.select(F.col("id").alias("lead"), F.col("component").alias("root"))
-    both = star.join(sets.select("id", "shingles"), "id").join(sets.select(F.col("id").alias("lead"), F.col("shingles").alias("of_lead")), "lead").join(root, "lead", "left")
-    differs = F.concat(F.array_except("shingles", "of_lead"), F.array_except("of_lead", "shingles"))
-    both = both.select("lead", "id", "component", F.coalesce("root", "lead").alias("root"), F.size("shingles").alias("size"), F.size("of_lead").alias("lead_size"), differs.alias("differs"))
-    return scratch.cut(both.withColumn("distance", 2 * F.size("differs") / (F.col("size") + F.col("lead_size") + F.size("differs"))))
+    both = star.join(sets, "id").join(sets.select(F.col("id").alias("ref"), F.col("shingles").alias("of_ref")), "ref")
+    differs = F.concat(F.array_except("shingles", "of_ref"), F.array_except("of_ref", "shingles"))
+    both = scratch.cut(both.select("ref", "id", "component", "root", F.size("shingles").alias("size"), F.size("of_ref").alias("ref_size"), differs.alias("differs")))
+    total, apart = F.col("size") + F.col("ref_size"), F.size("differs")
+    return both.select("*", (2 * apart / (total + apart)).alias("distance"), (100 * (total - apart) >= percent * (total + apart)).alias("linked"))
 
 
 def _by_difference(near: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of different components, one not the leader's, that share enough of their differences to be linked.
+    """Pairs (a, b) of different components, one of them not linked to the reference, that share enough of their differences from it.
 
-    With x not linked to the leader h, a link x-y means that they share more than (|y - h| + c (|h| - |y|)) / 2 of the shingles in which
-    they differ from h, c = (1 - threshold) / (1 + threshold). So one of the first |y - h| - that many in any order is shared.
+    With x not linked to the reference h, a link x-y means that they share more than (|y - h| + c (|h| - |y|)) / 2 of the shingles in
+    which they differ from h, c = (1 - threshold) / (1 + threshold). So one of the first |y - h| - that many in any order is shared.
     """
     c = (1 - threshold) / (1 + threshold)
-    need = F.floor((F.size("differs") + c * (F.col("lead_size") - F.col("size"))) / 2 - 1e-9) + 1
-    outer = near.where("component <> root").select("lead", F.col("id").alias("x"), F.col("component").alias("cx"), F.explode("differs").alias("e"))
-    often = outer.groupBy("lead", "e").agg(F.count("*").alias("f"))
-    all_of = near.select("lead", F.col("id").alias("y"), F.col("component").alias("cy"), (F.size("differs") - need + 1).cast("int").alias("first"), F.explode("differs").alias("e"))
-    listed = all_of.where("first > 0").join(often, ["lead", "e"], "left").groupBy("lead", "y", "cy", "first").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "e"))).alias("es"))
-    prefix = listed.select("lead", "y", "cy", F.explode(F.slice("es", 1, F.col("first"))).alias("s")).where("s.f > 0").select("lead", "y", "cy", F.col("s.e").alias("e"))
-    return prefix.join(outer, ["lead", "e"]).where("cx <> cy").select(*_ordered(F.col("x"), F.col("y"))).distinct()
+    need = F.floor((F.size("differs") + c * (F.col("ref_size") - F.col("size"))) / 2 - 1e-9) + 1
+    outer = near.where("component <> root AND NOT linked").select("ref", F.col("id").alias("x"), F.col("component").alias("cx"), F.explode("differs").alias("e"))
+    often = outer.groupBy("ref", "e").agg(F.count("*").alias("f"))
+    all_of = near.select("ref", F.col("id").alias("y"), F.col("component").alias("cy"), (F.size("differs") - need + 1).cast("int").alias("first"), F.explode("differs").alias("e"))
+    listed = all_of.where("first > 0").join(often, ["ref", "e"], "left").groupBy("ref", "y", "cy", "first").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "e"))).alias("es"))
+    prefix = listed.select("ref", "y", "cy", F.explode(F.slice("es", 1, F.col("first"))).alias("s")).where("s.f > 0").select("ref", "y", "cy", F.col("s.e").alias("e"))
+    return prefix.join(outer, ["ref", "e"]).where("cx <> cy").select(*_ordered(F.col("x"), F.col("y"))).distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80, n: int = 5, scratch: Scratch | None = None) -> DataFrame:
@@ -253,18 +263,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     members = opened.where(f"n <= {SMALL}").withColumn("far", F.lit(True)).withColumn("distance", F.lit(None).cast("double")).select(*left)
     large, more = opened.where(f"n > {SMALL}"), None
     if not large.isEmpty():
-        told = _differences(large, components, docs, key, text, n, scratch)
+        large = scratch.cut(_referred(large, links))
+        told = _differences(large, docs, key, text, n, percent, scratch)
         more = _by_difference(told.where(F.col("distance") <= FAR), threshold)
-        beyond = told.where(F.col("distance") > FAR - (1 - threshold) - 1e-9).select("lead", "id", (F.col("distance") > FAR).alias("far"), "distance")
-        members = members.unionByName(large.join(beyond, ["lead", "id"]).select(*left))
+        beyond = told.where(F.col("distance") > FAR - (1 - threshold) - 1e-9).select("ref", "id", (F.col("distance") > FAR).alias("far"), "distance")
+        members = members.unionByName(large.join(beyond, ["ref", "id"]).select(*left))
+        links = links.unionByName(told.where("linked").select(F.col("id").alias("src"), F.col("ref").alias("dst")))
     members, number = scratch.cut(_placed(members)), 1
     while more is not None or not members.isEmpty():
         pairs = _round(members, number, threshold)
         pairs = scratch.cut(pairs if more is None else pairs.unionByName(more).distinct())
         more, number = None, number + 1
         members = members.where(f"n > {SMALL} AND n > {_leaders(number)[0]}")
-        if not pairs.isEmpty() and not (found := link(pairs)).isEmpty():
-            links = links.unionByName(found)
+        found = None if pairs.isEmpty() else link(pairs)
+        if number == 2 or found is not None and not found.isEmpty():
+            links = links if found is None else links.unionByName(found)
             components = connected_components(links, scratch)
             renamed = members.drop("component").join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
             members = scratch.cut(renamed.select(*members.columns))

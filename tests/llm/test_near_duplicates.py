@@ -62,7 +62,7 @@ def corpus(seed: int, families: int, copies: int):
     return list(enumerate(texts, 100))
 
 
-@pytest.mark.parametrize(("seed", "families", "copies", "percent", "small"), [(1, 12, 8, 85, 32), (2, 2, 90, 85, 3), (3, 3, 60, 80, 2)])
+@pytest.mark.parametrize(("seed", "families", "copies", "percent", "small"), [(1, 12, 8, 85, 64), (2, 2, 90, 85, 3), (3, 3, 60, 80, 1), (4, 1, 200, 85, 8)])
 def test_components_equal_brute_force(spark, monkeypatch, seed, families, copies, percent, small):
     monkeypatch.setattr(nd, "SMALL", small)
     rows = corpus(seed, families, copies)
