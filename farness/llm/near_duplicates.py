@@ -223,12 +223,18 @@ def _by_difference(near: DataFrame, threshold: float) -> DataFrame:
     """
     c = (1 - threshold) / (1 + threshold)
     need = F.floor((F.size("differs") + c * (F.col("ref_size") - F.col("size"))) / 2 - 1e-9) + 1
-    outer = near.where("component <> root AND NOT linked").select("ref", F.col("id").alias("x"), F.col("component").alias("cx"), F.explode("differs").alias("e"))
-    often = outer.groupBy("ref", "e").agg(F.count("*").alias("f"))
-    all_of = near.select("ref", F.col("id").alias("y"), F.col("component").alias("cy"), (F.size("differs") - need + 1).cast("int").alias("first"), F.explode("differs").alias("e"))
-    listed = all_of.where("first > 0").join(often, ["ref", "e"], "left").groupBy("ref", "y", "cy", "first").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "e"))).alias("es"))
-    prefix = listed.select("ref", "y", "cy", F.explode(F.slice("es", 1, F.col("first"))).alias("s")).where("s.f > 0").select("ref", "y", "cy", F.col("s.e").alias("e"))
-    return prefix.join(outer, ["ref", "e"]).where("cx <> cy").select(*_ordered(F.col("x"), F.col("y"))).distinct()
+    outer = F.expr("component <> root AND NOT linked")
+    often = near.where(outer).select("ref", F.explode("differs").alias("e")).groupBy("ref", "e").agg(F.count("*").alias("f"))
+    facts = F.struct("id", "component", "size", F.size("differs").alias("d"), outer.alias("outer"), (F.size("differs") - need + 1).cast("int").alias("first"))
+    every = near.select("ref", facts.alias("of"), "differs").select("ref", "of", F.explode("differs").alias("e"))
+    listed = every.join(often, ["ref", "e"], "left").groupBy("ref", "of").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "e"))).alias("es"))
+    placed = listed.select("ref", "of", F.posexplode("es").alias("p", "s")).where("s.f > 0").select("ref", F.col("s.e").alias("e"), "of", "p")
+    x = placed.where("of.outer").select("ref", "e", F.col("of").alias("x"), F.col("p").alias("px"))
+    y = placed.where("p < of.first").select("ref", "e", F.col("of").alias("y"), F.col("p").alias("py"))
+    # the first shingle shared, in the common order, leaves no more to share than stands behind it on either side
+    shared = f"(x.d + y.d - {c!r} * (x.size + y.size)) / 2 - 1e-9"
+    pairs = x.join(y, ["ref", "e"]).where(f"x.component <> y.component AND x.d - px >= {shared} AND y.d - py >= {shared}")
+    return pairs.select(*_ordered(F.col("x.id"), F.col("y.id"))).distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80, n: int = 5, scratch: Scratch | None = None) -> DataFrame:
