@@ -1,7 +1,8 @@
 """Licence scans (native): sentences become identifiers, identifier sequences are matched against ordered rules.
 
 A text is cut twice, into lines and into paragraphs whose wrapped lines are joined; both are cut at sentence ends, lower-cased
-and reduced to a-z, 0-9 and single spaces. Sentences of the fixed table become identifiers, the others vanish, and the
+and reduced to a-z, 0-9 and single spaces. Sentences of the fixed table become identifiers, also where a colon or semicolon
+within cuts them in two ('SPDX-License-Identifier: MIT'); the others vanish, and the
 rules, in order, take the identifiers they match, so that a later, more general rule can't use them again.
 
 Only DataFrame functions, each document within its own row: no shuffle, nothing is collected. A text that holds none of the
@@ -43,6 +44,14 @@ SENTENCES = {
     "all rights reserved": "R1",
     "the software is provided as is without warranty of any kind express or implied": "W1",
 }
+#: Sentences of the table whose usual wording has a mark that SENTENCE_END cuts at, as the two pieces that it leaves.
+PIECES = {
+    ("spdx license identifier", "apache 2 0"): "A4",
+    ("spdx license identifier", "mit"): "M4",
+    ("spdx license identifier", "gpl 3 0 only"): "G3",
+    ("you may obtain a copy of the license at", "http www apache org licenses license 2 0"): "A3",
+    ("this program is free software", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"): "G2",
+}
 #: Every sentence above holds at least one of these.
 CUES = ("licen", "permission", "redistribut", "copyright", "rights reserved", "warranty")
 #: Ordered rules (licence, category, pattern over a sequence such as ' B0  B1  B2 ').
@@ -64,21 +73,26 @@ CATEGORIES = ("reserved", "noncommercial", "copyleft", "permissive", "other")
 SENTENCE_END = r"\n|[.;:!?]+([ \t\r]+|\n|\z)"
 
 
-def sequence(text: Column) -> Column:
-    """' A1  W1 ' of a lower-case text cut into sentences; '' if it has none that is known."""
-    sentences = F.transform(F.split(text, SENTENCE_END), lambda x: F.btrim(F.regexp_replace(x, "[^a-z0-9]+", " ")))
-    known = F.filter(sentences, lambda x: x.isin(*SENTENCES))
+def sentences_of(text: Column) -> Column:
+    """The normalised sentences of a lower-case text, without empty ones."""
+    return F.filter(F.transform(F.split(text, SENTENCE_END), lambda x: F.btrim(F.regexp_replace(x, "[^a-z0-9]+", " "))), lambda x: x != "")
+
+
+def sequence(sentences: Column) -> Column:
+    """' A1  W1 ' of a plain column of normalised sentences; '' if none is known. A sentence cut in two counts at its second piece."""
     by_id: dict[str, list[str]] = {}
     for sentence, name in SENTENCES.items():
         by_id.setdefault(name, []).append(sentence)
 
-    def name_of(x: Column) -> Column:
+    def name_of(x: Column, i: Column) -> Column:
         out = F.lit("")
+        for (head, tail), name in PIECES.items():
+            out = F.when((x == tail) & (F.get(sentences, i - 1) == head), F.lit(f" {name} ")).otherwise(out)
         for name, of in by_id.items():
             out = F.when(x.isin(*of), F.lit(f" {name} ")).otherwise(out)
-        return out
+        return F.when(x.isin(*SENTENCES, *{tail for _, tail in PIECES}), out).otherwise(F.lit(""))
 
-    return F.concat_ws("", F.transform(known, name_of))
+    return F.concat_ws("", F.transform(sentences, name_of))
 
 
 def scan_licences(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -88,16 +102,17 @@ def scan_licences(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     names = ("line_ids", "paragraph_ids", "licences", "category")
     out = dict(zip(names, spare(docs, *names), strict=True))
-    low, lines, wrapped, found = spare(docs, "_low", "_lines", "_wrapped", "_found")
+    low, lines, wrapped, found, cut, joined = spare(docs, "_low", "_lines", "_wrapped", "_found", "_cut", "_joined")
     df = docs.select("*", F.lower(F.coalesce(F.col(text), F.lit(""))).alias(low))
     cued = F.lit(False)
     for cue in CUES:
         cued = cued | F.contains(F.col(low), F.lit(cue))
     df = df.select(
         "*",
-        F.when(cued, sequence(F.col(low))).otherwise(F.lit("")).alias(lines),
-        F.when(cued, sequence(F.regexp_replace(F.regexp_replace(low, r"\n[ \t\r]*\n", ". "), r"\n", " "))).otherwise(F.lit("")).alias(wrapped),
+        F.when(cued, sentences_of(F.col(low))).alias(cut),
+        F.when(cued, sentences_of(F.regexp_replace(F.regexp_replace(low, r"\n[ \t\r]*\n", ". "), r"\n", " "))).alias(joined),
     )
+    df = df.select("*", *[F.when(F.col(x).isNotNull(), sequence(F.col(x))).otherwise(F.lit("")).alias(name) for x, name in ((cut, lines), (joined, wrapped))])
     left = {lines: F.col(lines), wrapped: F.col(wrapped)}
     marks = []
     for licence, category, pattern in RULES:

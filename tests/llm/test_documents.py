@@ -80,6 +80,24 @@ def test_licences(spark):
     assert got[7][:2] == ("CC-BY-NC-4.0,proprietary", "reserved") and got[8][2] == "R1,R1"
 
 
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+
+
+def licences_of(spark, texts):
+    rows = scan_licences(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()
+    return [(r.line_ids, r.paragraph_ids, r.licences, r.category) for r in sorted(rows, key=lambda r: r.doc_id)]
+
+
+def test_licence_sentences_with_a_colon_within(spark):
+    tags = ["MIT", "Apache-2.0", "GPL-3.0-only", "BSD-3-Clause"]
+    got = licences_of(spark, [*(f"// SPDX-License-Identifier: {x}\nint x;" for x in tags), GPL, GPL.replace(":", ";"), "SPDX-License-Identifier: x\n\nMIT", "Terms: All rights reserved; SPDX-License-Identifier: Licensed under the MIT License"])
+    assert got[:4] == [("M4", "", "MIT", "permissive"), ("A4", "", "Apache-2.0", "permissive"), ("G3", "", "GPL-3.0", "copyleft"), ("", "", "", "none")]
+    assert got[4:6] == [("", "G2", "GPL-3.0", "copyleft")] * 2 and got[6] == ("", "", "", "none") and got[7][0] == "R1,M1"
+
+
 # op2
 
 
