@@ -44,6 +44,13 @@ SENTENCES = {
     "all rights reserved": "R1",
     "the software is provided as is without warranty of any kind express or implied": "W1",
 }
+#: Sentences as they are whole in the licences' texts, where the table has only how they begin.
+WHOLE = {
+    "licensed under the apache license version 2 0 the license": "A1",
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "M2",
+    "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "B2",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "W1",
+}
 #: Sentences of the table whose usual wording has a mark that SENTENCE_END cuts at, as the two pieces that it leaves.
 PIECES = {
     ("spdx license identifier", "apache 2 0"): "A4",
@@ -81,7 +88,7 @@ def sentences_of(text: Column) -> Column:
 def sequence(sentences: Column) -> Column:
     """' A1  W1 ' of a plain column of normalised sentences; '' if none is known. A sentence cut in two counts at its second piece."""
     by_id: dict[str, list[str]] = {}
-    for sentence, name in SENTENCES.items():
+    for sentence, name in (SENTENCES | WHOLE).items():
         by_id.setdefault(name, []).append(sentence)
 
     def name_of(x: Column, i: Column) -> Column:
@@ -90,7 +97,7 @@ def sequence(sentences: Column) -> Column:
             out = F.when((x == tail) & (F.get(sentences, i - 1) == head), F.lit(f" {name} ")).otherwise(out)
         for name, of in by_id.items():
             out = F.when(x.isin(*of), F.lit(f" {name} ")).otherwise(out)
-        return F.when(x.isin(*SENTENCES, *{tail for _, tail in PIECES}), out).otherwise(F.lit(""))
+        return F.when(x.isin(*SENTENCES, *WHOLE, *{tail for _, tail in PIECES}), out).otherwise(F.lit(""))
 
     return F.concat_ws("", F.transform(sentences, name_of))
 
