@@ -59,8 +59,8 @@ PIECES = {
     ("you may obtain a copy of the license at", "http www apache org licenses license 2 0"): "A3",
     ("this program is free software", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"): "G2",
 }
-#: Every sentence above holds at least one of these.
-CUES = ("licen", "permission", "redistribut", "copyright", "rights reserved", "warranty")
+#: Every sentence above holds at least one of these, within a word, so that no normalising changes it.
+CUES = ("licen", "permission", "redistribut", "copyright", "reserved", "warranty")
 #: Ordered rules (licence, category, pattern over a sequence such as ' B0  B1  B2 ').
 RULES = (
     ("Apache-2.0", "permissive", " A[1-4] ( A[1-4] )*"),

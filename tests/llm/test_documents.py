@@ -98,6 +98,11 @@ def test_licence_sentences_with_a_colon_within(spark):
     assert got[4:6] == [("", "G2", "GPL-3.0", "copyleft")] * 2 and got[6] == ("", "", "", "none") and got[7][0] == "R1,M1"
 
 
+def test_a_notice_parted_by_any_blank_is_reserved(spark):
+    texts = [f"(c) 2020 Acme. All rights{x}reserved." for x in ("\n", "\t", "  ", "-", " ")]
+    assert [x[1:] for x in licences_of(spark, texts)] == [("R1", "proprietary", "reserved")] * 5
+
+
 MIT = """MIT License
 
 Copyright (c) 2020 Somebody
