@@ -10,6 +10,7 @@ clash with the working names stay untouched, since working columns take spare na
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -74,12 +75,26 @@ def line_fails(line: Column, rules: LineRules) -> Column:
     )
 
 
+def near_capitals(rules: LineRules) -> str:
+    """A pattern found in every line that fails for its capitals: two of them with at most so many characters between.
+
+    With more than k between any two, a line of n characters has at most (n + k + 1) / (k + 2) capitals; k is the least for
+    which that isn't over max_upper * n from upper_from characters on. If one capital can be enough, it is one.
+    """
+    capital, least = "[A-Z\u00c0-\u00d6\u00d8-\u00de]", max(rules.upper_from, 1) * rules.max_upper
+    if least <= 1:
+        return capital
+    k = max(0, math.ceil((1 + max(rules.upper_from, 1) - 2 * least) / (least - 1)))
+    return f"{capital}[^\\n]{{0,{k}}}{capital}"
+
+
 def may_fail(text: Column, symbols: Column, rules: LineRules) -> Column:
     """False only where no line of the text can fail: what a failing line must have isn't in the whole text.
 
-    A line of capitals for more than half has two in a row; an unstopped line has its words between line ends without a stop.
+    A line of capitals for more than half has two with at most one character between; an unstopped line has its words between
+    line ends without a stop.
     """
-    out = (symbols > 0) | F.contains(text, F.lit("!")) | F.rlike(text, F.lit(f"[A-Z\u00c0-\u00d6\u00d8-\u00de]{{2}}"))
+    out = (symbols > 0) | F.contains(text, F.lit("!")) | F.rlike(text, F.lit(near_capitals(rules)))
     for s in NAVIGATION:
         out = out | F.contains(text, F.lit(s))
     out = out | F.rlike(F.lower(text), F.lit("|".join(BOILERPLATE)))

@@ -18,7 +18,7 @@ from farness.llm.licenses import CUES, SENTENCES, scan_licences
 from farness.llm.packing import LevelPacker, pack_documents
 from farness.llm.quality_model import fit, features, Passages, score, scores
 from farness.llm.quality_model import train as train_quality
-from farness.llm.quality_rules import line_first
+from farness.llm.quality_rules import LineRules, line_first, near_capitals
 from farness.llm.token_files import file_starts, read_token_files, token_digests, write_token_files
 from farness.llm.tokens import PieceEncoder, with_end
 from farness.llm.url_filter import boost, judge, rule_for, suffix_shares
@@ -60,6 +60,25 @@ def test_quality_rules_count_and_judge(spark):
     assert line_first(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_spaced_capitals_are_judged_alike_beside_a_symbol(spark):
+    prose = ". ".join("the river runs under stone" for _ in range(12)) + "."
+    heads = ["C O N T E N T S", "A B C D E F G", "A-B-C-D-E-F-G", "AbCdEfGhIjKl", "A b C d E F g H I"]  # the last two: half and less
+    rows = [(i, f"{x}\n{prose}") for i, x in enumerate(heads)] + [(i + 100, f"{x}\n{prose}\na & b, and so on, as all of this says") for i, x in enumerate(heads)]
+    got = {r.doc_id: r.n_lines_failed for r in line_first(spark.createDataFrame(rows, DOCS)).collect()}
+    assert [got[i] for i in range(5)] == [got[100 + i] for i in range(5)] == [1, 1, 1, 0, 0]
+
+
+@pytest.mark.parametrize("max_upper", [0.02, 0.1, 0.25, 0.34, 0.5, 0.7])
+def test_lines_of_too_many_capitals_have_two_near(max_upper):
+    rng, rules = random.Random(9), LineRules(max_upper=max_upper)
+    for n in range(12, 60):
+        for k in (int(max_upper * n) + 1, min(n, int(max_upper * n) + 2)):
+            even = {i * n // k for i in range(k)}
+            for at in [even, {i * (n - 1) // max(1, k - 1) for i in range(k)}, *(set(rng.sample(range(n), k)) for _ in range(20))]:
+                line = "".join("A" if i in at else "x" for i in range(n))
+                assert line.count("A") <= max_upper * n or re.search(near_capitals(rules), line)
+
+
 # op8
 
 
