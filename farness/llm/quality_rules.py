@@ -103,9 +103,14 @@ def may_fail(text: Column, symbols: Column, rules: LineRules) -> Column:
 
 
 def window_places(hashes: Column) -> Column:
-    """(hash, place) of every window packed into one sorted number each: the low bits have the place."""
+    """(hash, place) of every window, sorted: packed into one number each, whose low bits have the place.
+
+    From 1 << 20 windows on, where too few bits of the hash would be left, they are sorted whole and only the places stay.
+    """
     low = place_bits(hashes)
-    return F.sort_array(F.transform(hashes, lambda h, i: h.bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("long"))))
+    packed = F.sort_array(F.transform(hashes, lambda h, i: h.bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("long"))))
+    whole = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.cast("long").alias("i"))))
+    return F.when(F.size(hashes) < 1 << 20, packed).otherwise(F.transform(whole, lambda x: x["i"]))
 
 
 def place_bits(hashes: Column) -> Column:

@@ -18,7 +18,7 @@ from farness.llm.licenses import CUES, SENTENCES, scan_licences
 from farness.llm.packing import LevelPacker, pack_documents
 from farness.llm.quality_model import fit, features, Passages, score, scores
 from farness.llm.quality_model import train as train_quality
-from farness.llm.quality_rules import LineRules, line_first, near_capitals
+from farness.llm.quality_rules import LineRules, line_first, near_capitals, repeated_words, window_places
 from farness.llm.token_files import file_starts, read_token_files, token_digests, write_token_files
 from farness.llm.tokens import PieceEncoder, with_end
 from farness.llm.url_filter import boost, judge, rule_for, suffix_shares
@@ -79,6 +79,14 @@ def test_lines_of_too_many_capitals_have_two_near(max_upper):
                 assert line.count("A") <= max_upper * n or re.search(near_capitals(rules), line)
 
 
+def test_windows_of_long_texts_are_compared_by_whole_hashes(spark):
+    one, other = (7 << 31) | 1, (7 << 31) | 2
+    hashes = [one, other, one] + [i << 33 for i in range(3, 1 << 20)]
+    df = spark.createDataFrame([(hashes,)], "hs array<long>")
+    df = df.select("hs", window_places(df["hs"]).alias("ws"))
+    assert [r[0] for r in df.select(repeated_words(df["hs"], df["ws"])).collect()] == [5]
+
+
 # op8
 
 
