@@ -3,7 +3,8 @@
 A seed is a fixed mask over a window of words: the words at its ones are hashed, the others are ignored, so a passage with
 substituted words still has windows whose hashes agree. Hashes of the documents' windows are joined with those of the
 benchmark's; around each hit the whole item is laid along the document and the matching words are counted, runs of them
-joined across substitutions. A document holds an item if its matched words are enough.
+joined across substitutions. A document holds an item if its matched words are enough. The masks leave out none that is: every
+run of words that is counted has a window of one of them.
 
 The benchmark's side of the join is broadcast in blocks of at most block_words words, counted beforehand; a larger benchmark takes
 more passes over the documents, each block's result being written before the next. Nothing is shuffled.
@@ -23,9 +24,13 @@ from farness.llm.common import slices
 from farness.llm.words import joined, mix, words
 from farness.scratch import Scratch
 
-#: The masks, 8 of 12 words each.
-MASKS = ("111010011011", "110110100111", "101101110101", "111111110000")
-SPAN = len(MASKS[0])
+#: The masks, four words each, chosen so that one at least hits in every run of words that SeedIndex.matches counts:
+#: six matching words and more, half of the words between its ends at least, no two of them more than four apart.
+MASKS = (
+    "11010001", "1000100011", "101001001", "10001011", "10100101", "1110001", "100100011", "110010001", "1001010001",
+    "10001000011", "1100010001", "11001001", "1001011", "101000101", "10001101", "1010011", "110101", "11000101",
+)
+SPAN = 12
 SCHEMA = "doc_id long, item_id long, matched_words long, item_words long, share double, first_word long"
 #: Bytes of words: letters, digits and everything beyond ASCII.
 _LETTERS = np.array([chr(b).isalnum() if b < 128 else True for b in range(256)])
@@ -58,6 +63,12 @@ def seed_hashes(hashes: np.ndarray, places: list[int], salt: int) -> np.ndarray:
     return mix(out)
 
 
+def _distinct(rows: np.ndarray) -> np.ndarray:
+    """Sorted rows, each once."""
+    rows = rows[np.lexsort(rows.T[::-1])]
+    return rows[np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)])] if len(rows) else rows
+
+
 class SeedIndex:
     """The benchmark's side of the join: for each seed, sorted hashes with the item and the place of the window."""
 
@@ -75,6 +86,9 @@ class SeedIndex:
                     self.ids.append([])
                 self.ids[k].append(name)
         self.rule, self.seeds = rule, []
+        self.sizes = np.array([x.size for x in self.items], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.concatenate([*self.items, np.zeros(0, np.uint64)])
         full = [k for k, x in enumerate(self.items) if x.size >= SPAN]
         for salt, mask in enumerate(MASKS):
             self._seed([j for j, bit in enumerate(mask) if bit == "1"], salt, full)
@@ -94,7 +108,7 @@ class SeedIndex:
         self.seeds.append((places, salt, hashes[order], items[order], at[order], bitmap))
 
     def diagonals(self, hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """Distinct rows (document, item, place in the batch's words where the item would start) of the hits."""
+        """Distinct rows (document, item, place in the batch's words where the item would start) of the hits that can hold a run."""
         out = []
         for places, salt, known, items, at, bitmap in self.seeds:
             own = seed_hashes(hashes, places, salt)
@@ -105,8 +119,25 @@ class SeedIndex:
             k = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
             doc = np.searchsorted(bounds, where, "right") - 1
             inside = where + max(places) < bounds[doc + 1]
-            out.append(np.stack([doc, items[k], where - at[k]], axis=1)[inside])
-        return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), np.int64)
+            out.append(self._enough(hashes, bounds, _distinct(np.stack([doc, items[k], where - at[k]], axis=1)[inside])))
+        return _distinct(np.concatenate(out)) if out else np.zeros((0, 3), np.int64)
+
+    def _enough(self, hashes: np.ndarray, bounds: np.ndarray, rows: np.ndarray, most: int = 1 << 22) -> np.ndarray:
+        """The rows along which as many words match as the least run has; others have no run."""
+        ends, out, a = np.cumsum(self.sizes[rows[:, 1]]), [rows[:0]], 0
+        while a < len(rows):
+            before = int(ends[a - 1]) if a else 0
+            b = max(a + 1, int(np.searchsorted(ends, before + most, "right")))
+            doc, item, start = rows[a:b].T
+            size = self.sizes[item]
+            owner = np.repeat(np.arange(b - a), size)
+            off = np.arange(owner.size) - np.repeat(np.cumsum(size) - size, size)
+            place = start[owner] + off
+            inside = (place >= bounds[doc][owner]) & (place < bounds[doc + 1][owner])
+            same = inside & (hashes[np.clip(place, 0, hashes.size - 1)] == self.flat[self.starts[item][owner] + off])
+            out.append(rows[a:b][np.bincount(owner[same], minlength=b - a) >= np.minimum(self.rule.least_run, size)])
+            a = b
+        return np.concatenate(out)
 
     def matches(self, own: np.ndarray, item: np.ndarray, start: int) -> tuple[np.ndarray, int]:
         """(which words of the item match along the diagonal, in runs that are dense enough; the first such place in own)."""

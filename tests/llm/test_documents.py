@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from farness.llm.decontamination import contaminated
+from farness.llm.decontamination import Overlap, SeedIndex, contaminated, text_words
 from farness.llm.languages import Model, predict, train, viterbi
 from farness.llm.licenses import CUES, SENTENCES, scan_licences
 from farness.llm.packing import LevelPacker, pack_documents
@@ -249,6 +249,26 @@ def test_contamination_with_substitutions(spark):
     assert contaminated(df, table.where("false")).count() == 0 and contaminated(df.where("false"), table).count() == 0
 
 
+def test_seeds_find_all_that_is_accepted():
+    rng, rule = random.Random(11), Overlap()
+    vocabulary = [f"w{i}" for i in range(5000)]
+    items = [[rng.choice(vocabulary) for _ in range(n)] for n in (12, 16, 20, 32, 64) for _ in range(4)]
+    index, texts = SeedIndex(list(range(len(items))), [" ".join(x) for x in items], rule), []
+    for x in items:
+        texts += [[w if i % k else "other" for i, w in enumerate(x)] for k in (2, 3, 4)]
+        texts += [[w if rng.random() > share else "other" for w in x] for share in (0.2, 0.3, 0.4, 0.5) for _ in range(10)]
+    hashes, bounds = text_words(pa.array([" ".join(["before", *x, "behind"]) for x in texts]))
+    want = set()
+    for d, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
+        for k, own in enumerate(index.items):
+            total = np.zeros(own.size, bool)
+            for start in range(-own.size + 1, b - a):
+                total |= index.matches(hashes[a:b], own, start)[0]
+            if total.sum() >= max(rule.least_item, min(rule.words, -(-6 * own.size // 10))):
+                want.add((d, k, int(total.sum())))
+    assert {x[:3] for x in index.held(hashes, bounds)} == want and len(want) > 300
+
+
 # op4
 
 
