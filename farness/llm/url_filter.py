@@ -92,26 +92,28 @@ class Trees:
         return out
 
 
-def suffix_shares(hosts: list[str], label: np.ndarray, prior: float = 20.0) -> dict[str, float]:
-    """The smoothed share of bad URLs by last label of the host; '' has the share overall."""
-    overall = float(label.mean())
+def suffix_shares(hosts: list[str], label: np.ndarray, prior: float = 20.0, weight: np.ndarray | None = None) -> dict[str, float]:
+    """The smoothed share of bad URLs by last label of the host; '' has the share overall. Each counts by its weight, 1 by default."""
+    weight = np.ones(len(label)) if weight is None else weight
+    overall = float(np.average(label, weights=weight))
     sums: dict[str, list] = {}
-    for host, y in zip(hosts, label, strict=True):
-        own = sums.setdefault((host or "").rpartition(".")[2], [0.0, 0])
-        own[0], own[1] = own[0] + y, own[1] + 1
+    for host, y, w in zip(hosts, label, weight, strict=True):
+        own = sums.setdefault((host or "").rpartition(".")[2], [0.0, 0.0])
+        own[0], own[1] = own[0] + w * y, own[1] + w
     return {k: (bad + prior * overall) / (n + prior) for k, (bad, n) in sums.items()} | {"": overall}
 
 
-def boost(x: np.ndarray, label: np.ndarray, suffixes: dict[str, float], rounds: int = 60, depth: int = 3, rate: float = 0.2, bins: int = 32, least: float = 1.0) -> Trees:
-    """Newton boosting of the logistic loss on histograms of at most `bins` bins for each feature."""
-    share = np.clip(label.mean(), 1e-4, 1 - 1e-4)
+def boost(x: np.ndarray, label: np.ndarray, suffixes: dict[str, float], rounds: int = 60, depth: int = 3, rate: float = 0.2, bins: int = 32, least: float = 1.0, weight: np.ndarray | None = None) -> Trees:
+    """Newton boosting of the logistic loss, of each row by its weight, on histograms of at most `bins` bins for each feature."""
+    weight = np.ones(len(label)) if weight is None else weight
+    share = np.clip(np.average(label, weights=weight), 1e-4, 1 - 1e-4)
     model = Trees(float(np.log(share / (1 - share))), suffixes)
     cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1], method="lower")) for j in range(x.shape[1])]
     binned = np.stack([np.searchsorted(c, x[:, j], "left") for j, c in enumerate(cuts)], axis=1)
     margin = np.full(len(x), model.base)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-margin))
-        grad, hess = label - p, p * (1 - p)
+        grad, hess = weight * (label - p), weight * p * (1 - p)
         size = 2 ** (depth + 1) - 1
         feature, threshold, value = np.full(size, -1), np.zeros(size), np.zeros(size)
         node = np.zeros(len(x), np.int64)
@@ -147,20 +149,23 @@ def marked_bad(host: Column) -> Column:
 
 
 def train(urls: DataFrame, url: str = "url", label: str | None = None, sample: int = 20_000) -> Trees | None:
-    """Trees from at most `sample` URLs, those of the least hashes; bad URLs (label 1) and others are sampled apart, half and half.
+    """Trees from at most `sample` URLs, those of the least hashes; bad URLs (label 1) and others are sampled apart, at most half each, and
+    weighted by their counts over all rows, so that scores mean the same at every size.
 
     Without a label column hosts are labelled by BAD_WORDS. None unless both labels occur.
     """
     host, path = host_and_path(F.col(f"`{url}`"))
     rows = urls.select(F.col(f"`{url}`").alias("url"), host.alias("host"), path.alias("path"), (F.col(f"`{label}`").cast("int") if label else marked_bad(host)).alias("label")).where("url IS NOT NULL AND host <> ''").distinct()
-    found = []
+    found, counts = [], {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
     for y in (0, 1):
         found += rows.where(F.col("label") == y).orderBy(F.xxhash64("url"), "url").limit(sample // 2).collect()
     y = np.array([r.label for r in found], float)
     if y.size == 0 or y.min() == y.max():
         return None
-    suffixes = suffix_shares([r.host for r in found], y)
-    return boost(features(*(pa.array([r[k] for r in found], pa.string()) for k in range(3)), suffixes), y, suffixes)
+    bad, share = y.mean(), counts[1] / (counts[0] + counts[1])
+    weight = np.where(y == 1, share / bad, (1 - share) / (1 - bad))
+    suffixes = suffix_shares([r.host for r in found], y, weight=weight)
+    return boost(features(*(pa.array([r[k] for r in found], pa.string()) for k in range(3)), suffixes), y, suffixes, weight=weight)
 
 
 def judge(urls: DataFrame, model: Trees | None, key: str = "page_id", url: str = "url", rules=RULES) -> DataFrame:

@@ -219,6 +219,13 @@ def test_trees_learn_marked_hosts(spark):
     assert train_urls(df.where("label = 0"), label="label") is None and train_urls(spark.createDataFrame([], "url string")) is None
 
 
+def test_a_bounded_sample_keeps_the_share_of_bad_urls(spark):
+    rows = [(i, f"http://www.a{i:04d}.example.net/{i:04d}", int(i % 20 == 0)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, label int")
+    model = train_urls(df, label="label", sample=80)
+    assert model.base == pytest.approx(np.log(0.05 / 0.95)) and model.suffixes["net"] == pytest.approx(0.05)
+
+
 def test_boosting_splits_where_labels_change():
     x = np.arange(200, dtype=float)[:, None]
     model = boost(x, (x[:, 0] > 70).astype(float), suffix_shares(["a.b"] * 200, np.ones(200)))
