@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from farness.llm.words import span_hashes
+from farness.llm.words import PRIMES, SpanHasher
 
 #: Runs of white space in which a space that isn't the first is followed by white space or the end.
 SPACES = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -46,12 +46,15 @@ def _parts(spec: dict | None, key: str) -> list[dict]:
 
 
 class PieceEncoder:
-    """encode(texts) for Arrow string arrays; remembers about `most` pieces, then only the half that was used last.
+    """encode(texts) for Arrow string arrays; remembers pieces up to `most` of them and `most_ids` ids, then only the half that was used last.
 
-    What is remembered of a piece are 128 bits of its hash and where its ids lie: some 50 bytes.
+    What is remembered of a piece are 128 bits of its hash, whose base each process draws for itself, and where its ids lie: some
+    50 bytes. Pieces of over `long` bytes aren't remembered, so memory has a bound whatever the texts are.
     """
 
-    def __init__(self, path: str, most: int = 3_000_000, most_atoms: int = 200_000):
+    def __init__(self, path: str, most: int = 2_000_000, most_atoms: int = 100_000, most_ids: int = 8_000_000, long: int = 256):
+        self.most_ids, self.long = most_ids, long
+        self.hasher = SpanHasher(os.urandom(32), PRIMES, long)
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -121,28 +124,40 @@ class PieceEncoder:
             lists[i] = x.ids
         return lists
 
-    def _places(self, hashes: tuple[np.ndarray, np.ndarray], keys) -> tuple[np.ndarray, np.ndarray]:
-        """(start, size) in the store for pieces by their hashes; keys(at) gives those pieces themselves that aren't known."""
-        one, two = hashes
+    def _places(self, hashes: tuple[np.ndarray, np.ndarray], long: np.ndarray, keys) -> tuple[np.ndarray, np.ndarray]:
+        """(start, size) in the store for pieces by their hashes; keys(at) gives pieces themselves, asked for those that aren't known.
+
+        Long pieces are encoded anew and lie beside the store: their start is -1 less their place in self.beside.
+        """
+        starts, sizes = np.zeros(long.size, np.int64), np.zeros(long.size, np.int64)
+        if (far := np.flatnonzero(long)).size:
+            lists = self._ids(keys(far))
+            sizes[far] = np.fromiter(map(len, lists), np.int64, len(lists))
+            starts[far] = -1 - self.n_beside - (np.cumsum(sizes[far]) - sizes[far])
+            self.beside += [np.array(x, np.uint32) for x in lists]
+            self.n_beside += int(sizes[far].sum())
+        near = np.flatnonzero(~long)
+        one, two = (h[near] for h in hashes)
         at = np.searchsorted(self.known, one)
         inside = np.minimum(at, max(0, self.known.size - 1))
         new = np.flatnonzero((self.known[inside] != one) | (self.check[inside] != two)) if self.known.size else np.arange(one.size)
         if new.size:
             new = new[np.argsort(one[new], kind="stable")]
-            lists = self._ids(keys(new))
-            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-            end = self.used + int(sizes.sum())
+            lists = self._ids(keys(near[new]))
+            n = np.fromiter(map(len, lists), np.int64, len(lists))
+            end = self.used + int(n.sum())
             if self.store.size < end:
                 self.store = np.concatenate([self.store, np.zeros(max(end - self.store.size, self.store.size // 2), np.uint32)])
             self.store[self.used : end] = np.fromiter((i for x in lists for i in x), np.uint32, end - self.used)
-            rows = {"known": one[new], "check": two[new], "starts": self.used + np.cumsum(sizes) - sizes, "sizes": sizes, "used_in": np.zeros(new.size, np.int32)}
+            rows = {"known": one[new], "check": two[new], "starts": self.used + np.cumsum(n) - n, "sizes": n, "used_in": np.zeros(new.size, np.int32)}
             where = np.searchsorted(self.known, one[new])
             for name, values in rows.items():
                 setattr(self, name, np.insert(getattr(self, name), where, values))
             self.used = end
             at = np.searchsorted(self.known, one)
         self.used_in[at] = self.slice
-        return self.starts[at], self.sizes[at].astype(np.int64)
+        starts[near], sizes[near] = self.starts[at], self.sizes[at]
+        return starts, sizes
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, offsets of each text in them); null is as empty."""
@@ -168,26 +183,42 @@ class PieceEncoder:
         return np.fromiter((i for x in lists for i in x), np.uint32, int(offsets[-1])), offsets
 
     def _pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        if self.known.size > self.most:
+        if self.known.size > self.most or self.used > self.most_ids:
             self._thin()
         self.slice += 1
+        self.beside, self.n_beside = [], 0
         cut = pc.split_pattern(texts, " ")
         bounds = cut.offsets.to_numpy()
         coded = cut.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
         codes, pieces, bounds = coded.indices.to_numpy(), coded.dictionary, bounds - bounds[0]
         _, offsets, raw = pieces.buffers()
         offsets = np.frombuffer(offsets, np.int64)[pieces.offset : pieces.offset + len(pieces) + 1]
-        one, two = span_hashes(np.frombuffer(raw or b"", np.uint8)[: offsets[-1]], offsets)
+        one, two = self.hasher.pair(np.frombuffer(raw or b"", np.uint8)[: offsets[-1]], offsets)
+        long = np.diff(offsets) > self.long
         if self.kind == "spaced":
-            starts, sizes = (x[codes] for x in self._places((one, two), lambda at: [f" {k}" for k in pieces.take(pa.array(at)).to_pylist()]))
+            # long pieces that only begin texts aren't wanted behind a space
+            behind = np.ones(codes.size, bool)
+            behind[bounds[:-1]] = False
+            wanted = np.zeros(len(pieces), bool)
+            wanted[codes[behind]] = True
+            at = np.flatnonzero(wanted)
+            starts, sizes = np.zeros(codes.size, np.int64), np.zeros(codes.size, np.int64)
+            place = np.cumsum(wanted) - 1
+            found = self._places((one[at], two[at]), long[at], lambda k: [f" {x}" for x in pieces.take(pa.array(at[k])).to_pylist()])
+            starts[behind], sizes[behind] = (x[place[codes[behind]]] for x in found)
             firsts, back = np.unique(codes[bounds[:-1]], return_inverse=True)
-            bare = self._places((~one[firsts], two[firsts]), lambda at: pieces.take(pa.array(firsts[at])).to_pylist())
+            bare = self._places((~one[firsts], two[firsts]), long[firsts], lambda k: pieces.take(pa.array(firsts[k])).to_pylist())
             starts[bounds[:-1]], sizes[bounds[:-1]] = bare[0][back], bare[1][back]
         else:
-            starts, sizes = (x[codes] for x in self._places((one, two), lambda at: pieces.take(pa.array(at)).to_pylist()))
+            starts, sizes = (x[codes] for x in self._places((one, two), long, lambda k: pieces.take(pa.array(k)).to_pylist()))
+        store = self.store
+        if self.beside:
+            store = np.concatenate([store[: self.used], *self.beside])
+            starts = np.where(starts < 0, self.used - 1 - starts, starts)
+            self.beside = []
         ends = np.cumsum(sizes)
         at = np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]))
-        return self.store[at], np.concatenate([[0], ends])[bounds]
+        return store[at], np.concatenate([[0], ends])[bounds]
 
 
 @functools.lru_cache(maxsize=2)

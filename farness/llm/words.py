@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_MULTIPLIER), -1, 1 << 64))
 #: Bytes that separate words, and the lower case of A-Z.
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: The four greatest primes below 2**31.
+PRIMES = (2147483647, 2147483629, 2147483587, 2147483579)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -24,20 +26,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the multiplier and of its inverse, modulo 2**64, at least n of each."""
-    if _powers[0].size < n:
-        for k, base in enumerate((_MULTIPLIER, _INVERSE)):
-            full = np.full(n, base, np.uint64)
-            full[0] = 1
-            _powers[k] = np.multiply.accumulate(full)
-    return _powers[0], _powers[1]
-
-
 def joined(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All texts as bytes, a line feed behind each, and where each starts (with the end as the last); null is as empty."""
     texts = pc.fill_null(texts, "").cast(pa.large_string())
@@ -46,34 +34,90 @@ def joined(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"\n".join([*raw, b""]), np.uint8), np.concatenate([[0], np.cumsum(sizes)])
 
 
-def words(buffer: np.ndarray, starts: np.ndarray, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(a 64-bit hash of each word with A-Z lowered, where each text's words start in it, with the end).
+class SpanHasher:
+    """Hashes of spans of bytes: polynomials of their bytes in bases that the seed draws, modulo several primes near 2**31.
 
-    keep: the bytes that count as letters of a word; all but the six blanks by default. It tells words apart and is what is hashed.
+    Modulo a prime no structure of the spans makes them collide in a base drawn at random: two spans of n bytes agree modulo one prime with
+    a chance of n / 2**31 at most. Spans of over `long` bytes are hashed by blake2b. (A power of two as the modulus
+    wouldn't do: there words such as Thue and Morse's collide in every base.)
     """
-    inside = np.zeros(buffer.size + 2, np.int8)
-    inside[1:-1] = ~_BLANK[buffer] if keep is None else keep[buffer]
-    edge = np.diff(inside)
-    first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    up, down = _power_tables(buffer.size + 1)
-    sums = np.zeros(buffer.size + 1, np.uint64)
-    np.cumsum(_BYTES[_LOWER[buffer]] * up[: buffer.size], out=sums[1:])
-    return mix((sums[last] - sums[first]) * down[first]), np.searchsorted(first, starts)
 
+    def __init__(self, seed: bytes, primes: tuple[int, ...], long: int = 4096):
+        self.seed, self.primes, self.long = seed, primes, long
+        self.powers = []
+        for k, p in enumerate(primes):
+            base = int.from_bytes(hashlib.blake2b(seed, digest_size=16, salt=bytes([k])).digest(), "big") % (p - 1000) + 500
+            table = np.ones(1, np.uint64)
+            while table.size < long:
+                # a product of two residues stays below 2**62
+                table = np.concatenate([table, table * np.uint64(pow(base, table.size, p)) % np.uint64(p)])
+            self.powers.append(table[:long])
+
+    def residues(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """(a residue of every span for each prime, which spans are too long to have one)."""
+        sizes = np.diff(offsets)
+        far = sizes > self.long
+        if far.any():
+            # only the short spans' bytes
+            take = np.repeat(~far, sizes)
+            data, sizes = data[offsets[0] : offsets[-1]][take], np.where(far, 0, sizes)
+            offsets = np.concatenate([[0], np.cumsum(sizes)])
+        some = np.flatnonzero(sizes)
+        out = [np.zeros(sizes.size, np.uint64) for _ in self.primes]
+        if some.size:
+            begin, end = int(offsets[0]), int(offsets[-1])
+            back = np.repeat(offsets[1:] - 1, sizes) - np.arange(begin, end)
+            values = data[begin:end].astype(np.uint64) + np.uint64(1)
+            starts = offsets[:-1][some] - begin
+            for column, table, p in zip(out, self.powers, self.primes, strict=True):
+                # at most `long` products below 2**40 are added
+                column[some] = np.add.reduceat(values * table[back], starts) % np.uint64(p)
+        return out, far
+
+    def _digests(self, data: np.ndarray, offsets: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """Two numbers for each of the given spans, by blake2b."""
+        raw = b"".join(hashlib.blake2b(data[offsets[i] : offsets[i + 1]].tobytes(), digest_size=16, key=self.seed[:64]).digest() for i in which.tolist())
+        return np.frombuffer(raw, "<u8").reshape(-1, 2)
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """One 64-bit hash of each span."""
+        found, far = self.residues(data, offsets)
+        high = np.uint64(32)
+        out = mix(found[0] << high | found[1])
+        for k, r in enumerate(found[2:]):
+            out = mix(out + (r << high | np.uint64(k + 1)))
+        out = mix(out + np.diff(offsets).astype(np.uint64))
+        if far.any():
+            out[far] = self._digests(data, offsets, np.flatnonzero(far))[:, 0]
+        return out
+
+    def pair(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two independent 64-bit hashes of each span, from two primes each; for four primes."""
+        found, far = self.residues(data, offsets)
+        sizes, high = np.diff(offsets).astype(np.uint64), np.uint64(32)
+        one, two = (mix((found[k] << high | found[k + 1]) ^ mix(sizes + np.uint64(k + 1))) for k in (0, 2))
+        if far.any():
+            own = self._digests(data, offsets, np.flatnonzero(far))
+            one[far], two[far] = own[:, 0], own[:, 1]
+        return one, two
+
+
+#: The same in every worker, since words meet across them.
+_WORDS = SpanHasher(b"words of all documents", PRIMES[:3])
 
-_OTHER_BYTES = mix(_BYTES + np.uint64(0xA0761D6478BD642F))
 
+def words(buffer: np.ndarray, starts: np.ndarray, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(a 64-bit hash of each word with A-Z lowered, where each text's words start in it, with the end).
 
-def span_hashes(buffer: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of each span of the buffer between two offsets, as the bytes are."""
-    up, down = _power_tables(buffer.size + 1)
-    first, last = offsets[:-1], offsets[1:]
-    out = []
-    for table in (_BYTES, _OTHER_BYTES):
-        sums = np.zeros(buffer.size + 1, np.uint64)
-        np.cumsum(table[buffer] * up[: buffer.size], out=sums[1:])
-        out.append(mix((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64)))
-    return out[0], out[1]
+    keep: the bytes that count as letters of a word; all but the six blanks by default. It tells words apart and is what is hashed.
+    """
+    letters = ~_BLANK if keep is None else keep
+    inside = np.zeros(buffer.size + 2, bool)
+    inside[1:-1] = letters[buffer]
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    first, last = edge[::2], edge[1::2]
+    data = _LOWER[buffer[inside[1:-1]]]
+    return _WORDS(data, np.concatenate([[0], np.cumsum(last - first)])), np.searchsorted(first, starts)
 
 
 _PLACES = mix(np.arange(11, 11 + 64, dtype=np.uint64)) | np.uint64(1)
