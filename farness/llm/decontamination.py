@@ -8,6 +8,10 @@ run of words that is counted has a window of one of them.
 
 The benchmark's side of the join is broadcast in blocks of at most block_words words, counted beforehand; a larger benchmark takes
 more passes over the documents, each block's result being written before the next. Nothing is shuffled.
+
+Repetitive texts (tables of zeros) don't multiply: a window that an item repeats more than REPEATS times isn't joined place by
+place; a run of such windows in the document gives one range of places where the item may start. Ranges are laid along from the
+left until every word of the item has matched. What is found is the same, and memory is bounded by CELLS.
 """
 
 from __future__ import annotations
@@ -36,6 +40,10 @@ SCHEMA = "doc_id long, item_id long, matched_words long, item_words long, share
 _LETTERS = np.array([chr(b).isalnum() if b < 128 else True for b in range(256)])
 _PLACES = mix(np.arange(101, 101 + SPAN, dtype=np.uint64)) | np.uint64(1)
 _BITS = 22
+#: A window found more often than that in one item is joined by ranges.
+REPEATS = 3
+#: How many words are laid against each other, or rows joined, at a time.
+CELLS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -69,6 +77,16 @@ def _distinct(rows: np.ndarray) -> np.ndarray:
     return rows[np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)])] if len(rows) else rows
 
 
+def _blocks(sizes: np.ndarray, most: int):
+    """Ranges of rows whose sizes add up to about `most`, one row at least in each."""
+    ends, a = np.cumsum(sizes), 0
+    while a < sizes.size:
+        before = int(ends[a - 1]) if a else 0
+        b = max(a + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield a, b
+        a = b
+
+
 class SeedIndex:
     """The benchmark's side of the join: for each seed, sorted hashes with the item and the place of the window."""
 
@@ -102,42 +120,87 @@ class SeedIndex:
         hashes = np.concatenate(parts)
         items = np.repeat(np.array(of, np.int64), [p.size for p in parts])
         at = np.concatenate([np.arange(p.size) for p in parts])
-        order = np.argsort(hashes, kind="stable")
         bitmap = np.zeros(1 << _BITS, bool)
         bitmap[hashes >> np.uint64(64 - _BITS)] = True
-        self.seeds.append((places, salt, hashes[order], items[order], at[order], bitmap))
+        order = np.lexsort((at, items, hashes))
+        hashes, items, at = hashes[order], items[order], at[order]
+        first = np.flatnonzero(np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (items[1:] != items[:-1])]))
+        count = np.diff(np.append(first, hashes.size))
+        often = count > REPEATS
+        once = ~np.repeat(often, count)
+        ranges = (hashes[first[often]], items[first[often]], at[first[often]], at[(first + count - 1)[often]])
+        self.seeds.append((places, salt, bitmap, (hashes[once], items[once], at[once]), ranges))
 
-    def diagonals(self, hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """Distinct rows (document, item, place in the batch's words where the item would start) of the hits that can hold a run."""
-        out = []
-        for places, salt, known, items, at, bitmap in self.seeds:
+    def _candidates(self, hashes: np.ndarray, bounds: np.ndarray, ranges: list):
+        """Yields distinct rows (document, item, place in the batch's words where the item would start), those of one window
+        maybe again later; rows (document, item, first such place, last) are put into ranges."""
+        waiting, n_waiting = [], 0
+        for places, salt, bitmap, (known, items, at), (hot, hot_items, lo, hi) in self.seeds:
             own = seed_hashes(hashes, places, salt)
             near = np.flatnonzero(bitmap[own >> np.uint64(64 - _BITS)])
+            doc = np.searchsorted(bounds, near, "right") - 1
+            inside = near + max(places) < bounds[doc + 1]
+            near, doc = near[inside], doc[inside]
             low, high = (np.searchsorted(known, own[near], side) for side in ("left", "right"))
-            n = high - low
-            where = np.repeat(near, n)
-            k = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            doc = np.searchsorted(bounds, where, "right") - 1
-            inside = where + max(places) < bounds[doc + 1]
-            out.append(self._enough(hashes, bounds, _distinct(np.stack([doc, items[k], where - at[k]], axis=1)[inside])))
-        return _distinct(np.concatenate(out)) if out else np.zeros((0, 3), np.int64)
-
-    def _enough(self, hashes: np.ndarray, bounds: np.ndarray, rows: np.ndarray, most: int = 1 << 22) -> np.ndarray:
-        """The rows along which as many words match as the least run has; others have no run."""
-        ends, out, a = np.cumsum(self.sizes[rows[:, 1]]), [rows[:0]], 0
-        while a < len(rows):
-            before = int(ends[a - 1]) if a else 0
-            b = max(a + 1, int(np.searchsorted(ends, before + most, "right")))
-            doc, item, start = rows[a:b].T
-            size = self.sizes[item]
-            owner = np.repeat(np.arange(b - a), size)
-            off = np.arange(owner.size) - np.repeat(np.cumsum(size) - size, size)
-            place = start[owner] + off
-            inside = (place >= bounds[doc][owner]) & (place < bounds[doc + 1][owner])
-            same = inside & (hashes[np.clip(place, 0, hashes.size - 1)] == self.flat[self.starts[item][owner] + off])
-            out.append(rows[a:b][np.bincount(owner[same], minlength=b - a) >= np.minimum(self.rule.least_run, size)])
-            a = b
-        return np.concatenate(out)
+            hit = np.flatnonzero(high > low)
+            for a, b in _blocks((high - low)[hit], CELLS):
+                k, n = hit[a:b], (high - low)[hit[a:b]]
+                row = np.repeat(k, n)
+                to = np.repeat(low[k] - (np.cumsum(n) - n), n) + np.arange(row.size)
+                waiting.append(_distinct(np.stack([doc[row], items[to], near[row] - at[to]], axis=1)))
+                n_waiting += len(waiting[-1])
+                if n_waiting > CELLS:
+                    yield _distinct(np.concatenate(waiting))
+                    waiting, n_waiting = [], 0
+            if hot.size:
+                low, high = (np.searchsorted(hot, own[near], side) for side in ("left", "right"))
+                hit = np.flatnonzero(high > low)
+                hit = hit[np.lexsort((near[hit], low[hit], doc[hit]))]
+                if hit.size:
+                    # places of one window up to four apart make one range, since the window lies four times in the item at least
+                    fresh = (doc[hit[1:]] != doc[hit[:-1]]) | (low[hit[1:]] != low[hit[:-1]]) | (near[hit[1:]] - near[hit[:-1]] > REPEATS + 1)
+                    begin = np.flatnonzero(np.concatenate([[True], fresh]))
+                    end = np.append(begin[1:], hit.size) - 1
+                    n = (high - low)[hit[begin]]
+                    row = np.repeat(np.arange(begin.size), n)
+                    to = np.repeat(low[hit[begin]] - (np.cumsum(n) - n), n) + np.arange(row.size)
+                    ranges.append(np.stack([doc[hit[begin]][row], hot_items[to], near[hit[begin]][row] - hi[to], near[hit[end]][row] - lo[to]], axis=1))
+        if waiting:
+            yield _distinct(np.concatenate(waiting))
+
+    def _counted(self, hashes: np.ndarray, bounds: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, place in the item) of the words that count along the diagonals of rows: matches() of all of them at once."""
+        doc, item, start = rows.T
+        size = self.sizes[item]
+        low = np.maximum(0, bounds[doc] - start)
+        n = np.maximum(0, np.minimum(size, bounds[doc + 1] - start) - low)
+        row = np.repeat(np.arange(len(rows)), n)
+        off = np.arange(row.size) + np.repeat(low - (np.cumsum(n) - n), n)
+        same = np.flatnonzero(hashes[start[row] + off] == self.flat[self.starts[item][row] + off])
+        row, off = row[same], off[same]
+        if not row.size:
+            return row, off
+        first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (off[1:] - off[:-1] > 4)]))
+        n = np.diff(np.append(first, row.size))
+        dense = (n >= np.minimum(self.rule.least_run, size[row[first]])) & (2 * n >= off[first + n - 1] - off[first] + 1)
+        keep = np.repeat(dense, n)
+        return row[keep], off[keep]
+
+    def _along(self, hashes: np.ndarray, bounds: np.ndarray, doc: int, item: int, spans: list[tuple[int, int]]) -> tuple[np.ndarray, int]:
+        """(the item's places that count, the first word in the batch) along all diagonals of ascending spans."""
+        size = int(self.sizes[item])
+        total, first, step = np.zeros(size, bool), hashes.size, max(1, CELLS // size)
+        for low, high in spans:
+            for a in range(max(low, int(bounds[doc]) - size + 1), min(high, int(bounds[doc + 1]) - 1) + 1, step):
+                if a >= first and total.all():
+                    return total, first
+                starts = np.arange(a, min(a + step, high + 1))
+                row, off = self._counted(hashes, bounds, np.stack([np.full(starts.size, doc), np.full(starts.size, item), starts], axis=1))
+                if row.size:
+                    total[off] = True
+                    first = min(first, int((starts[row] + off).min()))
+                step = min(4 * step, max(1, CELLS // size))
+        return total, first
 
     def matches(self, own: np.ndarray, item: np.ndarray, start: int) -> tuple[np.ndarray, int]:
         """(which words of the item match along the diagonal, in runs that are dense enough; the first such place in own)."""
@@ -156,22 +219,58 @@ class SeedIndex:
 
     def held(self, hashes: np.ndarray, bounds: np.ndarray):
         """Yields (document, item, matched words, first word) of the items that documents hold."""
-        rows, rule = self.diagonals(hashes, bounds), self.rule
-        if not rows.size:
+        if not self.items:
+            return
+        width, ranges, codes, pairs, firsts = int(self.sizes.max()), [], [], [], []
+        for rows in self._candidates(hashes, bounds, ranges):
+            for a, b in _blocks(self.sizes[rows[:, 1]], CELLS):
+                own = rows[a:b]
+                row, off = self._counted(hashes, bounds, own)
+                pair = own[row, 0] * len(self.items) + own[row, 1]
+                codes.append(np.unique(pair * width + off))
+                at = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if row.size else row
+                pairs.append(pair[at])
+                firsts.append(np.minimum.reduceat(own[row, 2] + off, at) if row.size else row)
+        if ranges:
+            rows = _distinct(np.concatenate(ranges))
+            edge = np.flatnonzero(np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)]))
+            for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(rows)], strict=True):
+                spans: list[tuple[int, int]] = []
+                for low, high in rows[a:b, 2:].tolist():
+                    if spans and low <= spans[-1][1] + 1:
+                        spans[-1] = (spans[-1][0], max(spans[-1][1], high))
+                    else:
+                        spans.append((low, high))
+                doc, item = int(rows[a, 0]), int(rows[a, 1])
+                total, first = self._along(hashes, bounds, doc, item, spans)
+                pair = doc * len(self.items) + item
+                codes.append(pair * width + np.flatnonzero(total))
+                if total.any():
+                    pairs.append(np.array([pair]))
+                    firsts.append(np.array([first]))
+        if not codes:
             return
-        pairs = np.flatnonzero(np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)]))
-        for a, b in zip(pairs, [*pairs[1:], len(rows)], strict=True):
-            doc, k = int(rows[a, 0]), int(rows[a, 1])
-            own, item = hashes[bounds[doc] : bounds[doc + 1]], self.items[k]
-            total, first = np.zeros(item.size, bool), own.size
-            for start in rows[a:b, 2] - bounds[doc]:
-                same, at = self.matches(own, item, int(start))
-                if same.any():
-                    total |= same
-                    first = min(first, at)
-            need = item.size if item.size < SPAN else max(rule.least_item, min(rule.words, math.ceil(rule.share * item.size)))
-            if total.sum() >= need:
-                yield doc, k, int(total.sum()), first
+        found, matched = np.unique(np.unique(np.concatenate(codes)) // width, return_counts=True)
+        pair, first = np.concatenate(pairs), np.concatenate(firsts)
+        least = np.full(found.size, hashes.size)
+        np.minimum.at(least, np.searchsorted(found, pair), first)
+        doc, item = found // len(self.items), found % len(self.items)
+        size, rule = self.sizes[item], self.rule
+        share = np.array([math.ceil(rule.share * n) for n in size.tolist()], np.int64)
+        need = np.where(size < SPAN, size, np.maximum(rule.least_item, np.minimum(rule.words, share)))
+        for k in np.flatnonzero(matched >= need).tolist():
+            yield int(doc[k]), int(item[k]), int(matched[k]), int(least[k] - bounds[doc[k]])
+
+
+def _index_blocks(items: DataFrame, item_key: str, item_text: str, rule: Overlap, block_words: int):
+    """Yields a broadcast index for each block of items, of at most about block_words words; one of none for an empty table."""
+    spark = items.sparkSession
+    tests = items.select(F.col(f"`{item_key}`").cast("long").alias("id"), F.col(f"`{item_text}`").alias("text")).where("text IS NOT NULL")
+    total = tests.agg(F.sum(F.size(F.split("text", r"[^\p{L}\p{N}]+")))).first()[0] or 0
+    blocks = max(1, math.ceil(total / block_words))
+    for b in range(blocks):
+        own = tests.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b).orderBy("id", "text").collect()
+        yield spark.sparkContext.broadcast(SeedIndex([r.id for r in own], [r.text for r in own], rule)), blocks
 
 
 def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", rule: Overlap = Overlap(), block_words: int = 500_000) -> DataFrame:
@@ -180,23 +279,45 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     Defined results: null and empty texts of either side hold and are held by nothing; items with equal words each get their own
     row; repeated rows of docs repeat rows; null keys are carried along; empty tables give no rows. Only the named columns are read.
     """
-    spark = docs.sparkSession
-    tests = items.select(F.col(f"`{item_key}`").cast("long").alias("id"), F.col(f"`{item_text}`").alias("text")).where("text IS NOT NULL")
-    total = tests.agg(F.sum(F.size(F.split("text", r"[^\p{L}\p{N}]+")))).first()[0] or 0
-    blocks = max(1, math.ceil(total / block_words))
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    scratch, out = Scratch(spark, "decontamination") if blocks > 1 else None, None
-    for b in range(blocks):
-        own = tests.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b).orderBy("id", "text").collect()
-        shared = spark.sparkContext.broadcast(SeedIndex([r.id for r in own], [r.text for r in own], rule))
+    scratch, out = None, None
+    for shared, blocks in _index_blocks(items, item_key, item_text, rule, block_words):
         found = rows.mapInArrow(_search(shared), SCHEMA)
-        if scratch:
+        if blocks > 1:
+            scratch = scratch or Scratch(docs.sparkSession, "decontamination")
             found = scratch.cut(found)
             shared.unpersist()
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def decontaminated(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", rule: Overlap = Overlap(), block_words: int = 500_000) -> DataFrame:
+    """The rows of docs that hold no benchmark item, with all their columns, judged each by its own text alone.
+
+    Ids play no part, so null and repeated ones need no care; null and empty texts hold nothing and stay; empty tables and
+    columns of any name are fine.
+    """
+    scratch, place = None, docs.columns.index(text)
+    for shared, blocks in _index_blocks(items, item_key, item_text, rule, block_words):
+        docs = docs.mapInArrow(_drop(shared, place), docs.schema)
+        if blocks > 1:
+            scratch = scratch or Scratch(docs.sparkSession, "decontaminated")
+            docs = scratch.cut(docs)
+            shared.unpersist()
+    return docs
+
+
+def _drop(shared, place: int):
+    def run(batches):
+        index = shared.value
+        for batch in slices(batches, place, 2 << 20):
+            clean = np.ones(batch.num_rows, bool)
+            clean[[doc for doc, *_ in index.held(*text_words(batch.column(place)))]] = False
+            yield batch.filter(pa.array(clean))
+
+    return run
+
+
 def _search(shared):
     def run(batches):
         index = shared.value

@@ -5,7 +5,7 @@ zeros and some mantissa bits. Bands of registers (empty ones filled from others
 candidates; the Jaccard similarity estimated from the registers, less the expected chance collisions, sorts out most
 of them; the rest are confirmed on full shingle sets, so links are exact.
 
-Scale. Texts with the same shingle set form a class and only one representative of each goes on. Within a bucket no pairs are
+Scale. Texts with the same shingle set form a class, which has a number of its own, and only one representative of each goes on. Within a bucket no pairs are
 listed: all members meet a leader first. What the confirmed links don't join yet goes on: small buckets meet pairwise. In larger ones each member
 is told by its difference from a reference, the text with the most links in the bucket's largest component, with which it meets. Two members
 that link, of which one isn't linked to the reference, share more than about half of the other's difference, so they are found by a
@@ -17,12 +17,14 @@ edits. Components are found on tables; everything between steps is a table in th
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from farness.llm.common import slices, steady
+from farness.llm.common import slices, spare, steady
 from farness.llm.words import mix, shingle_sets
 from farness.operators.components import connected_components
 from farness.scratch import Scratch
@@ -39,6 +41,8 @@ SMALL = 8
 #: Up to this Jaccard distance from the reference members are told by their differences from it.
 FAR = 0.5
 SIGNATURE = "doc_id long, n_shingles long, f1 long, f2 long, registers binary, bands array<long>"
+#: What tells rows of one id apart by their text.
+TEXT = ["t1", "t2"]
 
 
 def compress(least: np.ndarray) -> np.ndarray:
@@ -97,30 +101,40 @@ def estimated(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> t
     return np.maximum(0, same - chance) / np.maximum(1e-9, used - chance), used
 
 
+def _names(sets: list[np.ndarray]) -> tuple[list, list]:
+    """Two numbers that name each set of hashes; null for an empty one."""
+    one = [int(s.sum(dtype=np.uint64).view(np.int64)) if s.size else None for s in sets]
+    two = [int((np.bitwise_xor.reduce(mix(s + np.uint64(0x5851F42D4C957F2D))) ^ np.uint64(len(s))).view(np.int64)) if s.size else None for s in sets]
+    return one, two
+
+
 def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5) -> DataFrame:
-    """SIGNATURE for every row; f1 and f2 name the shingle set (null without shingles)."""
+    """SIGNATURE and TEXT for every row; f1 and f2 name the shingle set (null without shingles), TEXT is by text_hash()."""
 
     def run(batches):
         for batch in slices(batches, 1, 2 << 20):
             sets = shingle_sets(batch.column(1), n)
             regs = registers(sets)
             keys = band_keys(regs)
-            some = [len(s) > 0 for s in sets]
-            lane = [mix(s + np.uint64(0x5851F42D4C957F2D)) for s in sets]
-            f1 = [int(s.sum(dtype=np.uint64).view(np.int64)) if ok else None for s, ok in zip(sets, some, strict=True)]
-            f2 = [int((np.bitwise_xor.reduce(x) ^ np.uint64(len(x))).view(np.int64)) if ok else None for x, ok in zip(lane, some, strict=True)]
+            f1, f2 = _names(sets)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(sets) + 1, BANDS, dtype=np.int32)), pa.array(keys.reshape(-1).view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array([r.tobytes() for r in regs], pa.binary()), lists],
-                [x.split()[0] for x in SIGNATURE.split(", ")],
+                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array([r.tobytes() for r in regs], pa.binary()), lists, batch.column(2), batch.column(3)],
+                [*(x.split()[0] for x in SIGNATURE.split(", ")), *TEXT],
             )
 
-    return docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, SIGNATURE)
+    rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), *text_hash(F.col(f"`{text}`")))
+    return rows.mapInArrow(run, f"{SIGNATURE}, t1 long, t2 long")
+
+
+def text_hash(text: Column) -> list[Column]:
+    """128 bits of hash of a text, as TEXT."""
+    return [F.xxhash64(text, F.lit(k)).alias(name) for k, name in enumerate(TEXT)]
 
 
 def _likely(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) whose estimate is no more than 4.5 standard deviations below the threshold."""
-    own = lambda x: reps.select(F.col("doc_id").alias(x), F.col("registers").alias(f"r{x}"), F.col("n_shingles").alias(f"n{x}"))
+    own = lambda x: reps.select(F.col("node").alias(x), F.col("registers").alias(f"r{x}"), F.col("n_shingles").alias(f"n{x}"))
 
     def run(batches):
         for batch in batches:
@@ -136,27 +150,51 @@ def _likely(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     return full.mapInArrow(run, "a long, b long")
 
 
-def _sets(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    def run(batches):
-        for batch in slices(batches, 1, 2 << 20):
-            sets = shingle_sets(batch.column(1), n)
-            ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-            values = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64)))], ["id", "shingles"])
-
-    return docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, "id long, shingles array<long>")
-
-
-def _needed_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """(id, shingles) of the documents whose id is in wanted's column _id."""
-    needed = docs.select(F.col(f"`{key}`").cast("long").alias("_key"), F.col(f"`{text}`").alias("_text"))
-    return _sets(needed.join(wanted, F.col("_key") == F.col("_id"), "left_semi"), "_key", "_text", n)
-
-
-def _confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, n: int, percent: int, scratch: Scratch) -> DataFrame:
+@dataclass(frozen=True)
+class _Texts:
+    """Where the classes' shingle sets come from: the documents, and reps (node, doc_id, f1, f2, copies)."""
+
+    docs: DataFrame
+    reps: DataFrame
+    key: str
+    text: str
+    n: int
+    repeated: bool
+
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        """(id, shingles, copies) of the classes whose number is in wanted's column _id, made anew from the rows that their reps are."""
+        n = self.n
+
+        def run(batches):
+            for batch in slices(batches, 0, 2 << 20):
+                sets = shingle_sets(batch.column(0), n)
+                # a row of the same id may have another text
+                f1, f2 = _names(sets)
+                right = [a == x and b == y for a, b, x, y in zip(f1, f2, batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+                own = [s for s, ok in zip(sets, right, strict=True) if ok]
+                ends = np.concatenate([[0], np.cumsum([len(s) for s in own])]).astype(np.int32)
+                values = np.concatenate(own) if own else np.zeros(0, np.uint64)
+                nodes, copies = (batch.column(k).filter(pa.array(right, pa.bool_())) for k in (1, 4))
+                yield pa.RecordBatch.from_arrays([nodes, pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64))), copies], ["id", "shingles", "copies"])
+
+        named = self.reps.select("node", F.col("doc_id").alias("_of"), "f1", "f2", "copies").join(wanted, F.col("node") == F.col("_id"), "left_semi")
+        rows = self.docs.select(F.col(f"`{self.key}`").cast("long").alias("_key"), F.col(f"`{self.text}`").alias("_text"))
+        rows = rows.join(named, F.col("_key") == F.col("_of")).select("_text", "node", "f1", "f2", "copies")
+        return rows.mapInArrow(run, "id long, shingles array<long>, copies long")
+
+    def cut(self, wanted: DataFrame, scratch: Scratch) -> DataFrame:
+        """sets() as a table (id, shingles), one row for each class."""
+        made = scratch.cut(self.sets(wanted))
+        if self.repeated:
+            # rows that repeat both id and set
+            made = scratch.cut(made.where("copies = 1").unionByName(made.where("copies > 1").dropDuplicates(["id"])))
+        return made.select("id", "shingles")
+
+
+def _confirmed(pairs: DataFrame, texts: _Texts, percent: int, scratch: Scratch) -> DataFrame:
     """Links (src, dst): pairs with 100 * intersection >= percent * union of the full sets."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
-    sets = scratch.cut(_needed_sets(docs, wanted, key, text, n))
+    sets = texts.cut(wanted, scratch)
     own = lambda x: sets.select(F.col("id").alias(x), F.col("shingles").alias(f"s{x}"))
     both = pairs.join(own("a"), "a").join(own("b"), "b")
     both = both.select("a", "b", steady(F.size(F.array_intersect("sa", "sb"))).alias("common"), (F.size("sa") + F.size("sb")).alias("sizes"))
@@ -203,11 +241,11 @@ def _referred(large: DataFrame, links: DataFrame) -> DataFrame:
     return large.join(roots.join(hubs, "root"), "key")
 
 
-def _differences(large: DataFrame, docs: DataFrame, key: str, text: str, n: int, percent: int, scratch: Scratch) -> DataFrame:
+def _differences(large: DataFrame, texts: _Texts, percent: int, scratch: Scratch) -> DataFrame:
     """ref, id, component, root, size, ref_size, differs (the symmetric difference), distance, linked, for members and their references."""
     star = scratch.cut(large.where("id <> ref").select("ref", "id", "component", "root").distinct())
     wanted = star.select(F.explode(F.array("ref", "id")).alias("_id")).distinct()
-    sets = scratch.cut(_needed_sets(docs, wanted, key, text, n))
+    sets = texts.cut(wanted, scratch)
     both = star.join(sets, "id").join(sets.select(F.col("id").alias("ref"), F.col("shingles").alias("of_ref")), "ref")
     differs = F.concat(F.array_except("shingles", "of_ref"), F.array_except("of_ref", "shingles"))
     both = scratch.cut(both.select("ref", "id", "component", "root", F.size("shingles").alias("size"), F.size("of_ref").alias("ref_size"), differs.alias("differs")))
@@ -245,22 +283,57 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     the least id reachable by links, kept says that it is the document's own.
 
     Defined results: null, empty and blank texts have no shingles and link with nothing; a null id links with nothing, has a
-    null component and is kept; rows that repeat an id are judged each by its own text; an empty table gives no rows. Only the
-    key and text columns are read.
+    null component and is kept; rows that repeat an id are judged each by its own text, rows that repeat id and text alike (so that of
+    both the id is kept; without_near_duplicates() leaves one row); an empty table gives no rows. Only the key and text columns
+    are read.
     """
+    return judged(docs, key, text, percent, n, scratch).select("doc_id", "n_shingles", "class_id", "component_id", "kept")
+
+
+def without_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80, n: int = 5, scratch: Scratch | None = None) -> DataFrame:
+    """The rows of docs, one of each group of linked ones: of the least id and, if several rows have it, of the least text by hash.
+
+    Rows go, not ids: another text of the same id stays unless its own group has one before it. Rows without an id or without
+    words stay. Columns of any name are carried along. Texts aren't shuffled unless they repeat an id.
+    """
+    scratch = scratch or Scratch(docs.sparkSession, "near-duplicates")
+    every = scratch.keep(judged(docs, key, text, percent, n, scratch), "judged")
+    usable = every.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    own, one, two = spare(docs, "_own", "_t1", "_t2")
+    name = [F.col("doc_id").alias(own), F.col("t1").alias(one), F.col("t2").alias(two)]
+    hashed = docs.select("*", *[h.alias(x) for h, x in zip(text_hash(F.col(f"`{text}`")), (one, two), strict=True)])
+    same = lambda: (F.col(f"`{key}`").cast("long") == F.col(own)) & (hashed[one] == marks[one]) & (hashed[two] == marks[two])
+    twice = scratch.keep(usable.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select(F.col("doc_id").alias("again")), "twice")
+    gone, more = usable.where("NOT kept"), None
+    if not twice.isEmpty():
+        gone = gone.unionByName(usable.join(twice, F.col("doc_id") == F.col("again"), "left_semi"))
+        first = usable.where("kept").groupBy("group").agg(F.min(F.struct("doc_id", *TEXT)).alias("least")).select("least.*")
+        marks = first.join(twice, F.col("doc_id") == F.col("again"), "left_semi").select(*name)
+        more = hashed.join(marks, same(), "left_semi").dropDuplicates([key, one, two])
+    marks = gone.select(*name).distinct()
+    out = hashed.join(marks, same(), "left_anti")
+    return (out if more is None else out.unionByName(more)).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def judged(docs: DataFrame, key: str, text: str, percent: int, n: int, scratch: Scratch | None = None) -> DataFrame:
+    """near_duplicates() and, for every row, its TEXT and the group (a number) that its text is linked with."""
     scratch = scratch or Scratch(docs.sparkSession, "near-duplicates")
     signed = scratch.keep(signatures(docs, key, text, n), "signed")
     usable = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = scratch.keep(usable.groupBy("f1", "f2").agg(F.min("doc_id").alias("class_id")), "classes")
-    own = classes.select(F.col("class_id").alias("doc_id"), "f1", "f2")
-    reps = scratch.keep(usable.join(own, ["doc_id", "f1", "f2"], "left_semi").dropDuplicates(["doc_id", "f1", "f2"]), "reps")
-    banded = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"), F.col("n_shingles").cast("int").alias("size"))
+    numbered = usable.groupBy("f1", "f2").agg(F.min("doc_id").alias("class_id")).withColumn("node", F.monotonically_increasing_id())
+    classes = scratch.keep(numbered, "classes")
+    own = classes.select(F.col("class_id").alias("doc_id"), "f1", "f2", "node")
+    facts = F.first(F.struct(F.col("n_shingles"), F.col("registers"), F.col("bands"))).alias("of")
+    chosen = usable.join(own, ["doc_id", "f1", "f2"]).groupBy("doc_id", "f1", "f2", "node").agg(facts, F.count("*").alias("copies"))
+    reps = scratch.keep(chosen.select("node", "doc_id", "f1", "f2", "copies", "of.*"), "reps")
+    texts = _Texts(docs, reps, key, text, n, not reps.where("copies > 1").isEmpty())
+    banded = reps.select(F.explode("bands").alias("key"), F.col("node").alias("id"), F.col("n_shingles").cast("int").alias("size"))
     full = banded.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("other"), F.count("*").alias("n")).where("lead <> other").drop("other")
     ranked = scratch.keep(banded.join(full, "key"), "members")
     threshold = percent / 100
 
     def link(pairs: DataFrame) -> DataFrame:
-        return scratch.cut(_confirmed(scratch.cut(_likely(pairs, reps, threshold)), docs, key, text, n, percent, scratch))
+        return scratch.cut(_confirmed(scratch.cut(_likely(pairs, reps, threshold)), texts, percent, scratch))
 
     links = link(scratch.cut(_star(ranked)))
     components = connected_components(links, scratch)
@@ -270,7 +343,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     large, more = opened.where(f"n > {SMALL}"), None
     if not large.isEmpty():
         large = scratch.cut(_referred(large, links))
-        told = _differences(large, docs, key, text, n, percent, scratch)
+        told = _differences(large, texts, percent, scratch)
         more = _by_difference(told.where(F.col("distance") <= FAR), threshold)
         beyond = told.where(F.col("distance") > FAR - (1 - threshold) - 1e-9).select("ref", "id", (F.col("distance") > FAR).alias("far"), "distance")
         members = members.unionByName(large.join(beyond, ["ref", "id"]).select(*left))
@@ -287,13 +360,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
             components = connected_components(links, scratch)
             renamed = members.drop("component").join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
             members = scratch.cut(renamed.select(*members.columns))
-    named = classes.join(components.withColumnRenamed("id", "class_id"), "class_id", "left")
-    named = named.select("f1", "f2", "class_id", F.coalesce("component", "class_id").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "f1", "f2").join(named, ["f1", "f2"], "left")
+    linked = classes.join(components.withColumnRenamed("id", "node"), "node").select("node", "component", "class_id")
+    least = linked.groupBy("component").agg(F.min("class_id").alias("component_id"))
+    named = classes.join(linked.join(least, "component").select("node", F.col("component").alias("group"), "component_id"), "node", "left")
+    named = named.select("f1", "f2", "class_id", F.coalesce("group", "node").alias("group"), F.coalesce("component_id", "class_id").alias("component_id"))
+    out = signed.select("doc_id", "n_shingles", "f1", "f2", *TEXT).join(named, ["f1", "f2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select(
-        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept")
-    )
+    class_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id"))
+    return out.select("doc_id", "n_shingles", class_id.alias("class_id"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"), "group", *TEXT)
 
 
 def _open(ranked: DataFrame, components: DataFrame) -> DataFrame:

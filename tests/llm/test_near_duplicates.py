@@ -110,3 +110,32 @@ def test_filled_registers_agree_for_equal_sets_and_have_no_gaps():
 def test_shingles_equal_brute_force():
     texts = [t for _, t in corpus(5, 4, 6)] + [None, "", "x", " É  É a\x0bb\x0cc d"]
     assert [len(s) for s in shingle_sets(pa.array(texts))] == [len(shingles_of(t)) for t in texts]
+
+
+def copies_of(rng, n=60):
+    base = [f"w{rng.randrange(5000)}" for _ in range(n)]
+    return " ".join(base), " ".join([*base[:-1], "other"]), " ".join(f"u{rng.randrange(5000)}" for _ in range(n))
+
+
+def test_rows_that_repeat_an_id_are_judged_by_their_own_text(spark):
+    x, edited, unrelated = copies_of(random.Random(8))
+    rows = [(3, x), (7, edited), (7, unrelated), (9, unrelated + " tail"), (5, unrelated.upper()), (5, x), (12, "one two three"), (12, "one two three")]
+    got = {(r.doc_id, i): (r.component_id, r.kept) for i, r in enumerate(sorted(nd.near_duplicates(spark.createDataFrame(rows, DOCS)).collect(), key=lambda r: (r.doc_id, r.n_shingles, r.component_id)))}
+    assert sorted((k[0], *v) for k, v in got.items()) == [(3, 3, True), (5, 3, False), (5, 5, True), (7, 3, False), (7, 5, False), (9, 5, False), (12, 12, True), (12, 12, True)]
+    alone = spark.createDataFrame([(3, x), (7, edited), (7, unrelated)], DOCS)
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in nd.near_duplicates(alone).collect()) == [(3, 3, True), (7, 3, False), (7, 7, True)]
+
+
+def test_one_row_of_each_group_stays(spark):
+    x, edited, unrelated = copies_of(random.Random(9))
+    rows = [(3, x, "a"), (7, edited, "b"), (7, unrelated, "c"), (8, "alone here", "d"), (8, "alone here", "d"), (None, x, "e"), (None, x, "e"), (9, None, "f"), (9, "", "g"), (4, unrelated + " end", "h"), (3, edited, "i"), (20, x + " y", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, t1 string").withColumnRenamed("t1", "_t1")
+    out = nd.without_near_duplicates(df)
+    assert out.columns == df.columns
+    got = sorted((str(r.doc_id), r["_t1"]) for r in out.collect())
+    # of the two rows of id 3 that are linked, one stays, that of the least text by hash
+    assert len([k for k in got if k[0] == "3"]) == 1
+    assert [k for k in got if k[0] != "3"] == sorted([("4", "h"), ("8", "d"), ("None", "e"), ("None", "e"), ("9", "f"), ("9", "g")])
+    assert nd.without_near_duplicates(df.where("false")).count() == 0
+    single = spark.createDataFrame([r[:2] for r in rows if r[0] not in (3, 7, 8, 9)] + [(3, x)], DOCS)
+    assert sorted(str(r.doc_id) for r in nd.without_near_duplicates(single).collect()) == ["3", "4", "None", "None"]
