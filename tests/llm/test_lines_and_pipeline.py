@@ -52,15 +52,62 @@ def test_first_keeps_one_copy_and_null_ids_work(spark):
     assert dedup_lines(spark.createDataFrame([], DOCS)).count() == 0
 
 
-def test_runs_are_merged_by_levels(spark):
-    runs = LineRuns(Scratch(spark, "test"), min_docs=3)
+def test_runs_are_merged_by_levels(spark, tmp_path):
+    scratch = Scratch(spark, "test")
+    runs = LineRuns.open(spark, str(tmp_path / "runs"), min_docs=3)
     for b in range(6):
         runs.add(spark.createDataFrame([(b * 10 + j, 1, 1) for j in range(2)] + [(b, 2, b)], "row long, h1 long, h2 long"))
     assert {k: len(v) for k, v in runs.levels.items() if v} == {1: 1, 2: 1}
-    merged = {(r.h1, r.h2): r.n for level in runs.levels.values() for _, run in level for r in run.collect()}
+    merged = {(r.h1, r.h2): r.n for level in runs.levels.values() for name in level for r in runs.run(name).collect()}
     # the common key was settled by the second batch and counted no more in those after
     assert merged[1, 1] == 4 and all(merged[2, b] == 1 for b in range(6))
-    assert [(r.h1, r.h2, r["first"]) for r in runs.settled().collect()] == [(1, 1, 0)]
+    assert [(r.h1, r.h2, r["first"]) for r in runs.settled(scratch).collect()] == [(1, 1, 0)]
+
+
+def test_runs_outlive_the_call(spark, tmp_path):
+    path, scratch = str(tmp_path / "runs"), Scratch(spark, "test")
+    early = spark.createDataFrame([(i, f"Shared line\nown {i}" + "\nonly early" * (i < 6)) for i in range(100, 108)], DOCS)
+    late = spark.createDataFrame([(i, f"own {i}\n shared LINE " + "\nonly early" * (i < 3)) for i in range(9)], DOCS)
+    first = LineRuns.open(spark, path, min_docs=10)
+    out = dedup_lines(early, keep="first", runs=first)
+    assert out.where("n_dropped > 0").isEmpty()
+    first.close()
+    again = LineRuns.open(spark, path, min_docs=10)
+    assert again.version == 4 and again.levels == first.levels
+    got = {r.doc_id: (r.n_dropped, r.kept_text) for r in dedup_lines(late, keep="first", runs=again).collect()}
+    # the first holder is a document of the earlier call
+    assert got == {i: (1, f"own {i}" + "\nonly early" * (i < 3)) for i in range(9)}
+    assert [r.n for name in sum(again.levels.values(), []) for r in again.run(name).where("n >= 10").collect()] == [17]
+    # a batch that isn't committed leaves the runs as they were
+    before = again.settled(scratch).collect()
+    again._write(0, spark.createDataFrame([(1, 1, 99, 0)], "h1 long, h2 long, n long, first long"))
+    assert LineRuns.open(spark, path).settled(scratch).collect() == before
+
+
+def test_merges_and_anti_joins_use_the_order_of_the_runs(spark, tmp_path):
+    runs = LineRuns.open(spark, str(tmp_path / "runs"), min_docs=2, fanout=3)
+    for b in range(4):
+        runs.add(spark.range(300).selectExpr(f"id + {b} AS row", "id AS h1", f"id % {b + 2} AS h2"))
+    names = runs.levels[1] + runs.levels[0]
+    with runs._sorted_scans():
+        merge = runs._merged(names)._jdf.queryExecution().executedPlan().toString()
+        settled = runs.run(names[0]).where("n >= 2").select("h1", "h2").hint("merge")
+        counted = spark.range(50).selectExpr("id h1", "id h2").groupBy("h1", "h2").count()
+        anti = counted.join(settled, ["h1", "h2"], "left_anti")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in merge and "Exchange" not in merge and "Sort [" not in merge
+    assert "SortMergeJoin" in anti and anti.count("Exchange") == 1
+
+
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_both_ways_of_dropping_are_the_same(spark, keep):
+    rng = random.Random(5)
+    common = ["The footer. ", "\tÉcole", "\u00a0x", "  ", "\x85", "a\x0b", "İx"]
+    texts = [None, "", "\n", "\r\n"] + ["\n".join(rng.choice([*common, f"own {i} {k}", "THE FOOTER."]) for k in range(rng.randint(0, 7))) for i in range(70)]
+    texts.append("\n".join(rng.choice([*common, f"long {k}"]) for k in range(60_000)))
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, texts[9]), (9, texts[9]), (9, "The footer.\nnew")]
+    df = spark.createDataFrame([(*r, 1, [1, 2]) for r in rows], DOCS + ", _row int, _lost array<int>")
+    search, join = (sorted(map(str, map(tuple, dedup_lines(df, keep=keep, most_broadcast=most).collect()))) for most in (1000, 0))
+    assert search == join and len(search) == len(rows)
 
 
 def fails(x, r=LineRules()):
