@@ -1,8 +1,9 @@
 """A corpus from raw documents to packed token sequences, in five stages.
 
 Each stage is a function (spark, docs, sf_dir) of all that the stage before it kept; its result is written as Parquet and read again.
-All but the last return the columns of documents, with n_chars brought up to date where the text changed. Rows without an id
-pass every stage that drops by id; an empty table passes all stages.
+All but the last return the columns of documents, with n_chars brought up to date where the text changed. Rows are dropped, not ids: a row
+that shares its id with one that goes stays unless its own text is against it. Rows without an id are judged by their text, but are
+linked with nothing by near-dedup; an empty table passes all stages.
 """
 
 from __future__ import annotations
@@ -11,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from farness.llm.common import BLANKS, spare, table
-from farness.llm.decontamination import contaminated
+from farness.llm.decontamination import decontaminated
 from farness.llm.line_dedup import dedup_lines
-from farness.llm.near_duplicates import near_duplicates
+from farness.llm.near_duplicates import without_near_duplicates
 from farness.llm.op6 import vocabulary
 from farness.llm.packing import pack_documents
 from farness.llm.quality_rules import line_first
@@ -40,15 +41,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked at a similarity of 0.8 on five-word shingles, the one of the least id stays."""
-    gone = near_duplicates(docs, percent=80).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """Of rows linked at a similarity of 0.8 on five-word shingles, one of the least id stays."""
+    return without_near_duplicates(docs, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    gone = contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """Rows that hold a benchmark item go."""
+    return decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
