@@ -52,17 +52,16 @@ class LineRuns:
         self.spark, self.path, self.min_docs, self.fanout = spark, path.rstrip("/"), min_docs, fanout
         self.levels: dict[int, list[str]] = {}
         self.tables: dict[str, str] = {}
+        self.buckets: dict[str, int] = {}
         self.version = 0
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, min_docs: int = 10, fanout: int = 2) -> LineRuns:
         """The runs stored under path, none if there are none yet. The folder must be one that driver and executors share."""
         runs = cls(spark, path, min_docs, fanout)
-        folder = spark._jvm.org.apache.hadoop.fs.Path(runs.path)
-        files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        folder, files = runs._file("")
         names = [x.getPath().getName() for x in files.listStatus(folder)] if files.exists(folder) else []
-        done = [int(n.partition("-")[2]) for n in names if n.startswith("manifest-") and files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{runs.path}/{n}/_SUCCESS"))]
-        if done:
+        if done := [int(n.partition("-")[2]) for n in names if n.startswith("manifest-")]:
             runs.version = max(done)
             state = json.loads(spark.read.text(f"{runs.path}/manifest-{runs.version}").first().value)
             runs.levels = {int(k): list(v) for k, v in state["levels"].items()}
@@ -70,9 +69,14 @@ class LineRuns:
                 table = f"farness_{uuid.uuid4().hex}"
                 where = f"{runs.path}/{name}".replace("'", "''")
                 spark.sql(f"CREATE TABLE {table} (h1 BIGINT, h2 BIGINT, n BIGINT, first BIGINT) USING parquet CLUSTERED BY (h1, h2) SORTED BY (h1, h2) INTO {int(buckets)} BUCKETS LOCATION '{where}'")
-                runs.tables[name] = table
+                runs.tables[name], runs.buckets[name] = table, int(buckets)
         return runs
 
+    def _file(self, name: str) -> tuple:
+        """A path under the folder and its file system."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
     def add(self, pairs: DataFrame) -> None:
         """One batch of (row id, h1, h2), each pair of a document and a key once."""
         counted = pairs.groupBy(*KEY).agg(F.count("*").alias("n"), F.min("row").alias("first"))
@@ -117,15 +121,20 @@ class LineRuns:
         buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         with self._sorted_scans():
             run.write.bucketBy(buckets, *KEY).sortBy(*KEY).format("parquet").option("path", f"{self.path}/{name}").saveAsTable(table)
-        self.tables[name] = table
+        self.tables[name], self.buckets[name] = table, buckets
         return name
 
     def _commit(self, levels: dict[int, list[str]], old: list[str]) -> None:
         levels = {k: v for k, v in levels.items() if v}
         names = [r for runs in levels.values() for r in runs]
-        buckets = {r: self.spark.sql(f"DESCRIBE FORMATTED {self.tables[r]}").where("col_name = 'Num Buckets'").first().data_type for r in names}
-        state = json.dumps({"levels": levels, "buckets": buckets})
-        self.spark.createDataFrame([(state,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/manifest-{self.version + 1}")
+        state = json.dumps({"levels": levels, "buckets": {r: self.buckets[r] for r in names}})
+        # a manifest is there as a whole or not at all
+        draft, files = self._file(f"draft-{uuid.uuid4().hex}")
+        out = files.create(draft, True)
+        out.write(bytearray(state.encode()))
+        out.close()
+        if not files.rename(draft, self._file(f"manifest-{self.version + 1}")[0]):
+            raise OSError(f"{self.path}: another manifest-{self.version + 1} is there")
         self.levels, self.version = levels, self.version + 1
         delete(self.spark, f"{self.path}/manifest-{self.version - 1}")
         for name in old:
