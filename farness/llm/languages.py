@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from farness.llm.common import slices
+from farness.llm.common import slices, spare
 from farness.llm.words import joined, mix
 
 BUCKET_BITS, ORDERS = 16, (1, 2, 3, 4)
@@ -166,7 +166,7 @@ def viterbi(scores: np.ndarray, bounds: np.ndarray, penalty: float) -> np.ndarra
     begin, n = bounds[:-1][order], sizes[order]
     steps = int(n[0]) if n.size else 0
     switched = np.zeros(scores.shape, bool)
-    best_at = np.zeros(scores.shape[0], np.int8)
+    best_at = np.zeros(scores.shape[0], np.int32)
     active = np.searchsorted(-n, -np.arange(steps), side="left") if steps else np.zeros(0, int)
     value = np.zeros((n.size, scores.shape[1]), np.float64)
     last_value = np.zeros_like(value)
@@ -183,7 +183,7 @@ def viterbi(scores: np.ndarray, bounds: np.ndarray, penalty: float) -> np.ndarra
             switched[at] = moved > own
             value[:live] = np.maximum(own, moved) + scores[at]
         last_value[:live] = value[:live]
-    labels = np.zeros(scores.shape[0], np.int8)
+    labels = np.zeros(scores.shape[0], np.int32)
     state = last_value.argmax(axis=1)
     for t in range(steps - 1, -1, -1):
         live = active[t]
@@ -198,11 +198,12 @@ def has_letter(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
 
 
-PREDICTED = "lang_pred string, score double, spans array<struct<start:int,stop:int,lang:string>>"
+#: Types of the columns that predict() adds.
+PREDICTED = ("string", "double", "array<struct<start:int,stop:int,lang:string>>")
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text", penalty: float = 12.0, spans: bool = True) -> DataFrame:
-    """docs with lang_pred, score and spans behind its columns (those of docs that clash must be renamed first).
+    """docs with lang_pred, score and spans behind its columns, in this order (spare names on a clash).
 
     lang_pred is the label of most letters' bytes; score their share of all labelled bytes, shaded towards even odds where the words
     hardly tell languages apart. spans are runs of words of one label, as byte places in the text's UTF-8 form.
@@ -213,6 +214,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", penalty: f
     names = docs.columns
     where = names.index(text)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    added = spare(docs, "lang_pred", "score", "spans")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -240,6 +242,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", penalty: f
                         if known[doc[a]]:
                             runs[doc[a]].append({"start": int(first[a]), "stop": int(last[b - 1]), "lang": model.langs[labels[a]]})
             kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("lang", pa.string())]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs), pa.array(shares), pa.array(runs, kind)], [*names, "lang_pred", "score", "spans"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs), pa.array(shares), pa.array(runs, kind)], [*names, *added])
 
-    return docs.mapInArrow(run, f"{schema}, {PREDICTED}")
+    kinds = ", ".join(f"`{name}` {kind}" for name, kind in zip(added, PREDICTED, strict=True))
+    return docs.mapInArrow(run, f"{schema}, {kinds}")
