@@ -134,14 +134,15 @@ def fit(x: np.ndarray, bounds: np.ndarray, label: np.ndarray, cut: Passages, wid
                 first[k] = 0.9 * first[k] + 0.1 * grad
                 second[k] = 0.999 * second[k] + 0.001 * grad**2
                 p[k] = p[k] - pace * first[k] / (np.sqrt(second[k]) + 1e-8)
-    return MilModel(mean, scale, {k: v.astype(np.float32) for k, v in p.items()}, cut)
+    return MilModel(mean, scale, p, cut)
 
 
 def scores(model: MilModel | None, texts: pa.Array) -> np.ndarray:
+    """Scores to six digits: sums in double precision, whose last bits depend on which texts share a product, don't reach them."""
     if model is None:
         return np.full(len(texts), 0.5)
     x, bounds = features(texts, model.cut)
-    return _forward(model.layers, np.clip((x - model.mean) / model.scale, -8, 8).astype(np.float32), bounds)["y"].astype(np.float64)
+    return np.round(_forward(model.layers, np.clip((x - model.mean) / model.scale, -8, 8).astype(np.float64), bounds)["y"], 6)
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample_docs: int = 4000, cut: Passages = Passages()) -> MilModel | None:
