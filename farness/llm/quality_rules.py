@@ -109,8 +109,20 @@ def window_places(hashes: Column) -> Column:
     """
     low = place_bits(hashes)
     packed = F.sort_array(F.transform(hashes, lambda h, i: h.bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("long"))))
-    whole = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.cast("long").alias("i"))))
-    return F.when(F.size(hashes) < 1 << 20, packed).otherwise(F.transform(whole, lambda x: x["i"]))
+    return F.when(F.size(hashes) < 1 << 20, packed).otherwise(whole_places(hashes))
+
+
+def whole_places(hashes: Column) -> Column:
+    """The places of the windows in the order of their whole hashes."""
+    return F.transform(F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.cast("long").alias("i")))), lambda x: x["i"])
+
+
+def mingled(hashes: Column, packed: Column) -> Column:
+    """Whether windows of different hashes lie beside each other that agree in all bits which the packed numbers keep."""
+    low = place_bits(hashes)
+    place = lambda x: x.bitwiseAND(low).cast("int")
+    near = lambda x, y: (x.bitwiseXOR(y) <= low) & (x.bitwiseXOR(y) >= 0) & (F.get(hashes, place(x)) != F.get(hashes, place(y)))
+    return F.exists(F.transform(packed, lambda x, j: F.coalesce(near(x, F.get(packed, j + 1)), F.lit(False))), lambda x: x)
 
 
 def place_bits(hashes: Column) -> Column:
@@ -128,6 +140,14 @@ def repeated_words(hashes: Column, packed: Column) -> Column:
     return F.size(F.array_distinct(covered)).cast("long")
 
 
+def repeated_in_order(hashes: Column, places: Column) -> Column:
+    """repeated_words() for places in the order of the whole hashes."""
+    at = lambda x: F.get(hashes, x.cast("int"))
+    found = F.filter(places, lambda x, j: F.coalesce(at(x) == at(F.get(places, j - 1)), F.lit(False)) | F.coalesce(at(x) == at(F.get(places, j + 1)), F.lit(False)))
+    covered = F.flatten(F.transform(found, lambda x: F.array(x, x + 1, x + 2)))
+    return F.size(F.array_distinct(covered)).cast("long")
+
+
 def line_first(docs: DataFrame, text: str = "text", rules: LineRules = LineRules()) -> DataFrame:
     """docs plus the base counts, base_failed, kept, clean_text (the lines that stay), n_lines_failed and kept_chars.
 
@@ -147,7 +167,9 @@ def line_first(docs: DataFrame, text: str = "text", rules: LineRules = LineRules
         F.filter(ls, lambda x: F.length(F.btrim(x, F.lit(BLANKS))) > 0).alias(dl),
     )
     df = df.select("*", F.when(F.size(F.array_distinct(hs)) < F.size(hs), window_places(F.col(hs))).alias(ws), F.concat_ws("\n", ok).alias(out["clean_text"]))
-    repeat = F.when(F.col(ws).isNull(), F.lit(0).cast("long")).otherwise(repeated_words(F.col(hs), F.col(ws)))
+    # equal windows may be parted by others that only the low bits tell from them
+    again = F.when((F.size(hs) < 1 << 20) & mingled(F.col(hs), F.col(ws)), repeated_in_order(F.col(hs), whole_places(F.col(hs)))).otherwise(repeated_words(F.col(hs), F.col(ws)))
+    repeat = F.when(F.col(ws).isNull(), F.lit(0).cast("long")).otherwise(again)
     df = df.select(
         "*",
         n.cast("long").alias(out["n_words"]),
