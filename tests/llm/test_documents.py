@@ -121,7 +121,7 @@ def licences_of(spark, texts):
 def test_licence_sentences_with_a_colon_within(spark):
     tags = ["MIT", "Apache-2.0", "GPL-3.0-only", "BSD-3-Clause"]
     got = licences_of(spark, [*(f"// SPDX-License-Identifier: {x}\nint x;" for x in tags), GPL, GPL.replace(":", ";"), "SPDX-License-Identifier: x\n\nMIT", "Terms: All rights reserved; SPDX-License-Identifier: Licensed under the MIT License"])
-    assert got[:4] == [("M4", "", "MIT", "permissive"), ("A4", "", "Apache-2.0", "permissive"), ("G3", "", "GPL-3.0", "copyleft"), ("", "", "", "none")]
+    assert got[:4] == [("M4", "", "MIT", "permissive"), ("A4", "", "Apache-2.0", "permissive"), ("G3", "", "GPL-3.0", "copyleft"), ("B5", "", "BSD-3-Clause", "permissive")]
     assert got[4:6] == [("", "G2", "GPL-3.0", "copyleft")] * 2 and got[6] == ("", "", "", "none") and got[7][0] == "R1,M1"
 
 
