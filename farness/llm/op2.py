@@ -9,5 +9,5 @@ from farness.llm.url_filter import judge, train
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return judge(pages, train(pages))

@@ -1,11 +1,14 @@
 """URL filters: host and path rules first, gradient-boosted trees on lexical features for the rest.
 
 The trees are learned from labelled URLs, a bounded sample of them: length, depth, digit ratio, entropy, parameter counts, marks in the host and
-the smoothed share of bad URLs by the host's suffix. Features are whole-buffer numpy operations; rules are native expressions.
+the smoothed share of bad URLs by the host's suffix. Labels are given, or come from the pages behind the URLs: a page is bad if its
+text fails the quality rules. How many trees there are is decided on a fold that they aren't fitted on, so labels that URLs say nothing
+about leave no trees but the share of bad pages. Features are whole-buffer numpy operations; rules and labels are native expressions.
 """
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -13,12 +16,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from farness.llm.quality_rules import line_first
 from farness.llm.words import joined
 
 #: The default rules, verdict and host with path.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-#: Words that mark a host as bad where no labels are given.
-BAD_WORDS = ("ads", "adult", "bet", "bets", "casino", "pills", "porn", "poker", "spam", "track", "viagra", "xxx")
+#: Elements of a page that aren't its text, and those that end a line of it.
+NOT_TEXT, LINES = ("script", "style", "head", "nav", "footer"), ("p", "div", "li", "br", "h[1-6]", "article", "section", "tr", "ul", "ol", "table", "blockquote", "pre")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -80,6 +84,12 @@ class Trees:
     base: float
     suffixes: dict[str, float]
     trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
+    #: The area under the ROC curve on the fold held out; None where it has one label only.
+    held_out_auc: float | None = None
+
+    def used(self) -> set[str]:
+        """The features that some tree splits by."""
+        return {FEATURES[j] for feature, _, _ in self.trees for j in feature.tolist() if j >= 0}
 
     def margin(self, x: np.ndarray) -> np.ndarray:
         out = np.full(len(x), self.base)
@@ -143,29 +153,87 @@ def boost(x: np.ndarray, label: np.ndarray, suffixes: dict[str, float], rounds:
     return model
 
 
-def marked_bad(host: Column) -> Column:
-    """1 if one of the host's words is a bad one, else 0: the label where none are given."""
-    return F.arrays_overlap(F.split(host, r"[.\-]"), F.array(*map(F.lit, BAD_WORDS))).cast("int")
+def auc(margin: np.ndarray, label: np.ndarray) -> float:
+    """The chance that a bad URL has a greater margin than another one, ties for a half."""
+    order, inverse, counts = np.unique(margin, return_inverse=True, return_counts=True)
+    rank = (np.cumsum(counts) - (counts - 1) / 2)[inverse]
+    bad = label == 1
+    return float((rank[bad].sum() - bad.sum() * (bad.sum() + 1) / 2) / (bad.sum() * (~bad).sum()))
+
+
+def page_text(html: Column) -> Column:
+    """The text of a page, a line for each block; '' for null."""
+    out = F.regexp_replace(F.coalesce(html, F.lit("")), rf"(?is)<({'|'.join(NOT_TEXT)})\b.*?</\1\s*>|<!--.*?-->", " ")
+    out = F.regexp_replace(F.regexp_replace(out, r"[ \t\r\n]+", " "), rf"(?i)</?(?:{'|'.join(LINES)})(?:\s[^>]*)?/?>", "\n")
+    out = F.regexp_replace(out, "<[^>]*>", "")
+    for entity, mark in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
+        out = F.replace(out, F.lit(entity), F.lit(mark))
+    return F.btrim(out, F.lit(" \n"))
+
+
+def labelled_by_page(pages: DataFrame, url: str = "url", html: str = "html", sample: int = 20_000) -> DataFrame:
+    """(url, label) of about `sample` pages, those of URLs with the least hashes: 1 if the page's text fails the quality rules."""
+    rows = pages.select(F.col(f"`{url}`").alias("url"), F.col(f"`{html}`").alias("html")).where("url IS NOT NULL AND html IS NOT NULL")
+    share = min(1.0, sample / max(1, pages.where(F.col(f"`{url}`").isNotNull()).count()))
+    near = rows.where(F.xxhash64("url", F.lit(5)) <= int(-(2**63) + share * (2**64 - 1025)))
+    # of pages of one URL the least counts
+    one = near.groupBy("url").agg(F.min("html").alias("html"))
+    return line_first(one.select("url", page_text(F.col("html")).alias("text"))).select("url", (~F.col("kept")).cast("int").alias("label"))
+
+
+def fitted(urls: list[str], hosts: list[str], paths: list[str], label: np.ndarray, weight: np.ndarray | None = None, folds: int = 5, rounds: int = 60) -> Trees:
+    """Trees of all rows, as many as had the least loss on a fold (by crc32 of the URL) when fitted on the others."""
+    weight = np.ones(label.size) if weight is None else weight
+    out = np.array([zlib.crc32(u.encode()) % folds == 0 for u in urls])
+
+    def trees(of: np.ndarray, n: int) -> Trees:
+        own = np.flatnonzero(of)
+        suffixes = suffix_shares([hosts[i] for i in own], label[of], weight=weight[of])
+        return boost(table_of(own, suffixes), label[of], suffixes, rounds=n, weight=weight[of])
+
+    def table_of(own: np.ndarray, suffixes: dict[str, float]) -> np.ndarray:
+        return features(*(pa.array([x[i] for i in own], pa.string()) for x in (urls, hosts, paths)), suffixes)
+
+    both = lambda of: of.any() and 0 < label[of].sum() < of.sum()
+    if not (both(out) and both(~out)):
+        return trees(np.ones(label.size, bool), rounds)
+    first = trees(~out, rounds)
+    x, y, w = table_of(np.flatnonzero(out), first.suffixes), label[out], weight[out]
+    margins = [Trees(first.base, first.suffixes, first.trees[:k]).margin(x) for k in range(len(first.trees) + 1)]
+    losses = [float((w * np.logaddexp(0, np.where(y == 1, -m, m))).sum()) for m in margins]
+    best = int(np.argmin(losses))
+    model = trees(np.ones(label.size, bool), best)
+    model.held_out_auc = auc(margins[best], y)
+    return model
 
 
-def train(urls: DataFrame, url: str = "url", label: str | None = None, sample: int = 20_000) -> Trees | None:
-    """Trees from at most `sample` URLs, those of the least hashes; bad URLs (label 1) and others are sampled apart, at most half each, and
-    weighted by their counts over all rows, so that scores mean the same at every size.
+def train(urls: DataFrame, url: str = "url", label: str | None = None, html: str = "html", sample: int = 20_000) -> Trees | None:
+    """Trees from at most `sample` URLs with given labels, those of the least hashes; bad URLs (label 1) and others are sampled apart,
+    at most half each, and weighted by their counts over all rows, so that scores mean the same at every size.
 
-    Without a label column hosts are labelled by BAD_WORDS. None unless both labels occur.
+    Without a label column about `sample` URLs are labelled by their pages, with the share of bad ones as it is. None unless both
+    labels occur, so also with neither labels nor pages.
     """
-    host, path = host_and_path(F.col(f"`{url}`"))
-    rows = urls.select(F.col(f"`{url}`").alias("url"), host.alias("host"), path.alias("path"), (F.col(f"`{label}`").cast("int") if label else marked_bad(host)).alias("label")).where("url IS NOT NULL AND host <> ''").distinct()
-    found, counts = [], {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
-    for y in (0, 1):
-        found += rows.where(F.col("label") == y).orderBy(F.xxhash64("url"), "url").limit(sample // 2).collect()
+    if not label and html not in urls.columns:
+        return None
+    host, path = host_and_path(F.col("url"))
+    given = urls.select(F.col(f"`{url}`").alias("url"), F.col(f"`{label}`").cast("int").alias("label")) if label else labelled_by_page(urls, url, html, sample)
+    rows = given.select("url", host.alias("host"), path.alias("path"), "label").where("url IS NOT NULL AND host <> ''")
+    if label:
+        rows = rows.distinct()
+        found, counts = [], {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
+        for y in (0, 1):
+            found += rows.where(F.col("label") == y).orderBy(F.xxhash64("url"), "url").limit(sample // 2).collect()
+    else:
+        found, counts = sorted(rows.collect()), None
     y = np.array([r.label for r in found], float)
     if y.size == 0 or y.min() == y.max():
         return None
-    bad, share = y.mean(), counts[1] / (counts[0] + counts[1])
-    weight = np.where(y == 1, share / bad, (1 - share) / (1 - bad))
-    suffixes = suffix_shares([r.host for r in found], y, weight=weight)
-    return boost(features(*(pa.array([r[k] for r in found], pa.string()) for k in range(3)), suffixes), y, suffixes, weight=weight)
+    weight = None
+    if counts:
+        bad, share = y.mean(), counts[1] / (counts[0] + counts[1])
+        weight = np.where(y == 1, share / bad, (1 - share) / (1 - bad))
+    return fitted(*([r[k] for r in found] for k in range(3)), y, weight)
 
 
 def judge(urls: DataFrame, model: Trees | None, key: str = "page_id", url: str = "url", rules=RULES) -> DataFrame:
