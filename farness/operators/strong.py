@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from farness.graph import Graph
-from farness.operators.traverse import pair_sums, shortest_paths
+from farness.operators.traverse import least_sums, pair_sums, shortest_paths
 from farness.scratch import Scratch
 
 
@@ -78,7 +78,7 @@ def topological_levels(comps: DataFrame, bridges: DataFrame, scratch: Scratch) -
 
 def directed_sums(graph: Graph, scratch: Scratch) -> DataFrame:
     """(id, r, d): how many others a vertex reaches and the sum of its least distances to them, by exact relaxation of all sources."""
-    return pair_sums(shortest_paths(graph.edges, graph.vertices, scratch))
+    return least_sums(graph.edges, graph.vertices, scratch)
 
 
 def forest_of_components(bridges: DataFrame) -> bool:

@@ -1,7 +1,9 @@
 """Breadth-first and weighted traversals, all sources in the same loop.
 
-Each level is one join of the frontier with the arcs and one aggregation with partial sums before the shuffle; a level's result is
-a table in the shared folder. The driver only asks whether the frontier is empty.
+Up to LOCAL_ARCS arcs, as counted, sums are made by tasks that know the whole graph (local.py). Beyond that each level is one join of
+the frontier with the arcs and one aggregation with partial sums before the shuffle; only the frontier is shuffled and written, a
+level's table in the shared folder goes once no later level looks at it. The driver only asks whether the frontier is empty.
+Both ways give the same rows.
 """
 
 from __future__ import annotations
@@ -9,42 +11,67 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from farness.operators.local import LOCAL_ARCS, local_sums, local_weighted_sums
 from farness.scratch import Scratch
 
 
-def bfs_pairs(arcs: DataFrame, sources: DataFrame, scratch: Scratch) -> DataFrame:
-    """(source, v, d): the hop distance of every vertex reached from every source (column id), the source itself at 0."""
+def bfs_pairs(arcs: DataFrame, sources: DataFrame, scratch: Scratch, symmetric: bool = False) -> DataFrame:
+    """(source, v, d): the hop distance of every vertex reached from every source (column id), the source itself at 0.
+
+    symmetric says that every arc has its reverse: then a level can only meet the two before it again.
+    """
     frontier = scratch.cut(sources.select(F.col("id").alias("source"), F.col("id").alias("v")).distinct())
-    reached, level = frontier.withColumn("d", F.lit(0)), 0
+    levels, reached, level = [frontier], frontier.withColumn("d", F.lit(0)), 0
     while not frontier.isEmpty():
         level += 1
         step = frontier.join(arcs, frontier["v"] == arcs["src"]).select("source", F.col("dst").alias("v")).distinct()
-        frontier = scratch.cut(step.join(reached.select("source", "v"), ["source", "v"], "left_anti"))
+        for before in levels[-2:] if symmetric else [reached]:
+            step = step.join(before.select("source", "v"), ["source", "v"], "left_anti")
+        frontier = scratch.cut(step)
+        levels.append(frontier)
         reached = reached.unionByName(frontier.withColumn("d", F.lit(level)))
     return reached
 
 
-def msbfs_sums(arcs: DataFrame, vertices: DataFrame, scratch: Scratch) -> DataFrame:
+def msbfs_sums(arcs: DataFrame, vertices: DataFrame, scratch: Scratch, symmetric: bool = False, local_arcs: int = LOCAL_ARCS) -> DataFrame:
     """(id, r, d) for every vertex: how many others reach it along the arcs, and the sum of their hop distances.
 
     64 sources share a BIGINT: a bit of (batch, v) says that the source has reached v. For distances out of v give reversed
     arcs. Batches are ranges of a table's rows, so no global ranking is needed.
     """
+    if arcs.count() <= local_arcs:
+        return local_sums(arcs, vertices, scratch)
     ranked = scratch.cut(vertices.select("id", F.monotonically_increasing_id().alias("place")))
+    name = lambda kind, level: f"{kind}-{tag}-{level}"
+    tag = scratch.n
     bit = F.expr("shiftleft(1L, CAST(pmod(place, 64) AS INT))")
-    state = scratch.cut(ranked.select(F.shiftright("place", 6).alias("batch"), F.col("id").alias("v"), bit.alias("visited"), bit.alias("frontier"), F.lit(0).cast("long").alias("r"), F.lit(0).cast("long").alias("d")))
-    level, zero = 0, F.lit(0).cast("long")
-    while not (live := state.where("frontier <> 0")).isEmpty():
+    frontier = scratch.keep(ranked.select(F.shiftright("place", 6).alias("batch"), F.col("id").alias("v"), bit.alias("bits")), name("bits", 0))
+    levels, sums, level, zero = [frontier], None, 0, F.lit(0).cast("long")
+    while not frontier.isEmpty():
         level += 1
-        onward = live.join(arcs, live["v"] == arcs["src"]).select("batch", F.col("dst").alias("v"), zero.alias("visited"), F.col("frontier").alias("next"), zero.alias("r"), zero.alias("d"))
-        both = state.select("batch", "v", "visited", zero.alias("next"), "r", "d").unionByName(onward)
-        merged = both.groupBy("batch", "v").agg(F.bit_or("visited").alias("visited"), F.bit_or("next").alias("next"), F.sum("r").alias("r"), F.sum("d").alias("d"))
-        new = F.col("next").bitwiseAND(F.bitwise_not("visited"))
-        gained = F.bit_count("frontier").cast("long")
-        state = scratch.cut(
-            merged.select("batch", "v", "visited", new.alias("frontier"), "r", "d").select("batch", "v", F.col("visited").bitwiseOR(F.col("frontier")).alias("visited"), "frontier", (F.col("r") + gained).alias("r"), (F.col("d") + gained * level).alias("d"))
-        )
-    return state.groupBy(F.col("v").alias("id")).agg(F.sum("r").alias("r"), F.sum("d").alias("d"))
+        onward = frontier.join(arcs, frontier["v"] == arcs["src"]).select("batch", F.col("dst").alias("v"), F.col("bits").alias("next"), zero.alias("had"))
+        for before in levels[-2:] if symmetric else levels:
+            # rows of the past count only where something new arrives
+            onward = onward.unionByName(before.select("batch", "v", zero.alias("next"), F.col("bits").alias("had")))
+        met = onward.groupBy("batch", "v").agg(F.bit_or("next").alias("next"), F.bit_or("had").alias("had"))
+        new = met.select("batch", "v", F.col("next").bitwiseAND(F.bitwise_not("had")).alias("bits")).where("bits <> 0")
+        frontier = scratch.keep(new, name("bits", level))
+        levels.append(frontier)
+        gained = frontier.groupBy(F.col("v").alias("id")).agg(F.sum(F.bit_count("bits")).alias("r")).select("id", "r", (F.col("r") * level).alias("d"))
+        sums = scratch.keep(gained if sums is None else sums.unionByName(gained).groupBy("id").agg(F.sum("r").alias("r"), F.sum("d").alias("d")), name("sums", level))
+        if level > 1:
+            scratch.drop(name("sums", level - 1))
+            if symmetric:
+                scratch.drop(name("bits", level - 2))
+    out = ranked.select("id") if sums is None else ranked.join(sums, "id", "left")
+    return out.select("id", *[(F.coalesce(c, zero) if sums is not None else zero).alias(c) for c in ("r", "d")])
+
+
+def least_sums(arcs: DataFrame, vertices: DataFrame, scratch: Scratch, local_arcs: int = LOCAL_ARCS) -> DataFrame:
+    """(id, r, d): how many others a vertex reaches along weighted arcs and the sum of its least distances to them."""
+    if arcs.count() <= local_arcs:
+        return local_weighted_sums(arcs, vertices, scratch)
+    return pair_sums(shortest_paths(arcs, vertices, scratch))
 
 
 def shortest_paths(arcs: DataFrame, sources: DataFrame, scratch: Scratch) -> DataFrame:

@@ -26,11 +26,11 @@ class Method:
 
 
 def _pairs(graph: Graph, scratch: Scratch) -> DataFrame:
-    return pair_sums(bfs_pairs(scratch.cut(graph.arcs()), graph.vertices, scratch))
+    return pair_sums(bfs_pairs(scratch.cut(graph.arcs()), graph.vertices, scratch, not graph.directed))
 
 
 def _bits(graph: Graph, scratch: Scratch) -> DataFrame:
-    return msbfs_sums(scratch.cut(graph.reversed().arcs() if graph.directed else graph.arcs()), graph.vertices, scratch)
+    return msbfs_sums(scratch.cut(graph.reversed().arcs() if graph.directed else graph.arcs()), graph.vertices, scratch, not graph.directed)
 
 
 #: pairs: a row for each source and vertex; bits: 64 sources a row; reduced: without redundant sources; blocks: confined to

@@ -12,10 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which driver and executors share.
 
-    Only where neither the session nor the context names one (tests, a single machine) a temporary folder is set.
+    Only where neither the session nor the context names one and driver and executors are one machine (tests) a temporary folder is
+    set; on a cluster that is an error, since every executor would write to a disk of its own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = f"file://{tempfile.mkdtemp(prefix='farness-')}"
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")

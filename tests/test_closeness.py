@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import pytest
 
+from farness.graph import Graph
+from farness.operators.traverse import bfs_pairs, least_sums, msbfs_sums
 from farness.plans import closeness
+from farness.scratch import Scratch
+from farness.sources import generate
 from tests.graphs import DISCO, WHEEL, frame, random_edges, sums
 
 
@@ -57,3 +61,31 @@ def test_directed_graphs_equal_search(spark, method):
 def test_bits_go_out_of_directed_vertices(spark):
     edges = [(0, 1), (1, 2), (2, 0), (2, 3), (4, 3)]
     assert rows(closeness(frame(spark, 5, edges, True), "bits")) == sums(5, edges, True)
+
+
+@pytest.mark.parametrize("directed", [False, True])
+def test_tables_and_tasks_sum_alike(spark, directed):
+    graph = generate.uniform(spark, 150, 170, 5)
+    edges = graph.edges if not directed else graph.edges.unionByName(generate.uniform(spark, 150, 60, 6).edges.selectExpr("dst AS src", "src AS dst"))
+    scratch = Scratch(spark, "test")
+    arcs = scratch.cut(Graph(graph.vertices, edges, directed).canonical().arcs())
+    rows = [sorted(map(tuple, msbfs_sums(arcs, graph.vertices, Scratch(spark, "test"), not directed, most).collect())) for most in (0, 1 << 40)]
+    pairs = {i: (0, 0) for i in range(150)}
+    for r in bfs_pairs(arcs, graph.vertices, scratch, not directed).collect():
+        pairs[r.v] = (pairs[r.v][0] + (r.source != r.v), pairs[r.v][1] + r.d)
+    assert rows[0] == rows[1] == sorted((i, *x) for i, x in pairs.items())
+
+
+@pytest.mark.parametrize("kind", ["long", "double"])
+def test_weighted_tables_and_tasks_sum_alike(spark, kind):
+    graph = generate.random_directed(spark, 60, 0.03, 9)
+    arcs = Scratch(spark, "test").cut(graph.edges.selectExpr("src", "dst", f"CAST(2 * weight AS {kind}) AS weight"))
+    rows = [sorted(map(tuple, least_sums(arcs, graph.vertices, Scratch(spark, "test"), most).collect())) for most in (0, 1 << 40)]
+    assert rows[0] == rows[1] and dict(least_sums(arcs, graph.vertices, Scratch(spark, "test")).dtypes)["d"] == ("bigint" if kind == "long" else "double")
+
+
+def test_a_wide_word_of_sources_and_long_paths(spark):
+    n = 700
+    graph = Graph(spark.range(n), spark.range(n - 1).selectExpr("id AS src", "id + 1 AS dst"))
+    got = {r.id: (r.r, r.d) for r in msbfs_sums(Scratch(spark, "test").cut(graph.arcs()), graph.vertices, Scratch(spark, "test"), True).collect()}
+    assert got == {i: (n - 1, i * (i + 1) // 2 + (n - 1 - i) * (n - i) // 2) for i in range(n)}
