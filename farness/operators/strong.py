@@ -86,11 +86,15 @@ def forest_of_components(bridges: DataFrame) -> bool:
     return bridges.groupBy("t").agg(F.sum("bridges").alias("n")).where("n > 1").isEmpty()
 
 
-def confined_sums(graph: Graph, scratch: Scratch) -> DataFrame:
+#: Ways from vertices to bridges whose entries' sums one task makes at most; more go through rounds, as many as the forest is deep.
+LOCAL_ROWS = 1_000_000
+
+
+def confined_sums(graph: Graph, scratch: Scratch, local_rows: int = LOCAL_ROWS) -> DataFrame:
     """(id, r, d) as directed_sums: confined to strong components where these form an out-forest by single bridges, else exact relaxation.
 
-    Within components distances come from one loop over all of them; what lies beyond a bridge adds its count and sum, in rounds from
-    the leaves to the roots.
+    Within components distances come from one loop over all of them; what lies beyond a bridge adds its count and sum, from the leaves to
+    the roots.
     """
     comps = scratch.cut(strong_components(graph, scratch))
     bridges = scratch.cut(condensation(graph, comps))
@@ -103,11 +107,52 @@ def confined_sums(graph: Graph, scratch: Scratch) -> DataFrame:
     intra = scratch.cut(pair_sums(local))
     exits = local.join(bridges.select(F.col("eu").alias("v"), F.col("ev").alias("entry"), F.col("weight").alias("w")), "v").select(F.col("source").alias("id"), "entry", (F.col("d") + F.col("w")).alias("to"))
     exits = scratch.cut(exits)
+    if exits.count() <= local_rows:
+        reached = exits.select("entry").distinct().join(intra, F.col("entry") == F.col("id"))
+        rows = exits.select("id", "entry", "to", F.lit(None).cast("long").alias("r"))
+        both = rows.unionByName(reached.select("id", F.lit(None).cast("long").alias("entry"), F.col("d").alias("to"), "r"))
+        # the entries' own exits decide what lies beyond them
+        needed = both.where("entry IS NULL").unionByName(rows.join(reached.select("id"), "id", "left_semi"))
+        whole = scratch.cut(needed.coalesce(1).mapInPandas(_beyond_in_a_task, f"entry long, er long, ed {kind}"))
+        return scratch.cut(_added(intra, exits, whole, kind))
     now = intra
     while True:
-        beyond = exits.join(now.select(F.col("id").alias("entry"), F.col("r").alias("er"), F.col("d").alias("ed")), "entry")
-        added = beyond.groupBy("id").agg(F.sum(F.col("er") + 1).alias("more"), F.sum(F.col("to") * (F.col("er") + 1) + F.col("ed")).alias("far"))
-        new = scratch.cut(intra.join(added, "id", "left").select("id", (F.col("r") + F.coalesce("more", F.lit(0))).alias("r"), (F.col("d") + F.coalesce("far", F.lit(0).cast(kind))).alias("d")))
+        new = scratch.cut(_added(intra, exits, now.select(F.col("id").alias("entry"), F.col("r").alias("er"), F.col("d").alias("ed")), kind))
         if new.exceptAll(now).isEmpty():
             return new
         now = new
+
+
+def _added(intra: DataFrame, exits: DataFrame, beyond: DataFrame, kind: str) -> DataFrame:
+    """intra and what lies beyond the exits: (entry, er, ed) is what an entry reaches, itself not counted."""
+    added = exits.join(beyond, "entry").groupBy("id").agg(F.sum(F.col("er") + 1).alias("more"), F.sum(F.col("to") * (F.col("er") + 1) + F.col("ed")).alias("far"))
+    return intra.join(added, "id", "left").select("id", (F.col("r") + F.coalesce("more", F.lit(0))).alias("r"), (F.col("d") + F.coalesce("far", F.lit(0).cast(kind))).alias("d"))
+
+
+def _beyond_in_a_task(frames):
+    """What each entry of a component reaches, from the leaves of the forest on."""
+    import pandas as pd
+
+    own: dict = {}
+    exits: dict = {}
+    for frame in frames:
+        for v, entry, to, r in frame.itertuples(index=False):
+            if pd.isna(entry):
+                own[int(v)] = (int(r), to)
+            else:
+                exits.setdefault(int(v), []).append((int(entry), to))
+    done: dict = {}
+    for start in own:
+        walk = [start]
+        while walk:
+            v = walk[-1]
+            if v in done:
+                walk.pop()
+            elif missing := [e for e, _ in exits.get(v, ()) if e not in done]:
+                walk += missing
+            else:
+                r, d = own[v]
+                for e, to in exits.get(v, ()):
+                    r, d = r + done[e][0] + 1, d + to * (done[e][0] + 1) + done[e][1]
+                done[walk.pop()] = (r, d)
+    yield pd.DataFrame([(v, r, d) for v, (r, d) in done.items()], columns=["entry", "er", "ed"])
