@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from farness.graph import Graph
+from farness.operators.biconnected import articulation_points
 from farness.operators.traverse import bfs_pairs
 from farness.scratch import Scratch
 
@@ -26,6 +27,15 @@ def redundant_vertices(graph: Graph) -> DataFrame:
     return shape.select(F.col("v").alias("id"), kind.alias("kind")).where("kind IS NOT NULL")
 
 
+def reduction_stats(graph: Graph, members: DataFrame) -> DataFrame:
+    """One row: blocks, articulations, r3, r4 and the share of redundant vertices; members are the blocks' (block_members())."""
+    kinds = redundant_vertices(graph).agg(F.count_if(F.col("kind") == "r3").alias("r3"), F.count_if(F.col("kind") == "r4").alias("r4"))
+    counts = members.select("block_a", "block_b").distinct().agg(F.count("*").alias("blocks")).crossJoin(articulation_points(members).agg(F.count("*").alias("articulations")))
+    n = graph.vertices.agg(F.count("*").alias("n"))
+    share = F.when(F.col("n") > 0, (F.col("r3") + F.col("r4")) / F.col("n").cast("double")).otherwise(F.lit(0.0))
+    return counts.crossJoin(kinds).crossJoin(n).select("blocks", "articulations", "r3", "r4", share.alias("redundant_share"))
+
+
 def reduced_sums(graph: Graph, scratch: Scratch) -> DataFrame:
     """(id, r, d): traversals start at the vertices that aren't redundant; the redundant take the distances backwards.
 
@@ -38,7 +48,7 @@ def reduced_sums(graph: Graph, scratch: Scratch) -> DataFrame:
     twins = arcs.join(marked.withColumnRenamed("id", "src"), "src", "left_semi").join(marked.withColumnRenamed("id", "dst"), "dst", "left_semi").select(F.col("src").alias("id")).distinct()
     skipped = scratch.cut(marked.join(twins, "id", "left_anti"))
     sources = graph.vertices.join(skipped, "id", "left_anti")
-    pairs = scratch.cut(bfs_pairs(arcs, sources, scratch))
+    pairs = scratch.cut(bfs_pairs(arcs, sources, scratch, True))
     back = pairs.join(skipped.withColumnRenamed("id", "v"), "v", "left_semi").select(F.col("v").alias("source"), F.col("source").alias("v"), "d")
     own = skipped.join(arcs, skipped["id"] == arcs["src"]).select("id", F.col("dst").alias("source"))
     # a skipped vertex's neighbours are sources: its distance to another skipped one is the least of theirs plus 1

@@ -45,8 +45,14 @@ def write_edge_list(graph: Graph, path: str) -> None:
     head.unionByName(rows).coalesce(1).sortWithinPartitions("k", "src", "dst").select("value").write.mode("overwrite").text(path)
 
 
-def write_values(results: DataFrame, path: str) -> None:
-    """CSV files with a header, id and closeness in full precision, ordered by id over all files."""
+def write_values(results: DataFrame, path: str, plain: bool = False) -> None:
+    """CSV files with a header, id and closeness in full precision, ordered by id over all files.
+
+    plain: one text file, a number a line in the order of the ids, without a header. For exchange of small results.
+    """
+    if plain:
+        results.select("id", F.col("closeness").cast("string").alias("value")).coalesce(1).sortWithinPartitions("id").select("value").write.mode("overwrite").text(path)
+        return
     results.select("id", "closeness").orderBy("id").write.mode("overwrite").option("header", True).csv(path)
 
 
@@ -56,6 +62,22 @@ def read_values(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.monotonically_increasing_id().alias("place"), value.alias("value")).where("value IS NOT NULL")
 
 
+def write_summary(rows: DataFrame, path: str) -> None:
+    """One CSV file of a small table, with a header; the rows are ordered by all columns."""
+    rows.coalesce(1).sortWithinPartitions(*rows.columns).write.mode("overwrite").option("header", True).csv(path)
+
+
+def append_timing_lines(runs: DataFrame, path: str) -> None:
+    """Adds lines 'method,ms' to a log of text files, without a header."""
+    runs.select(F.concat_ws(",", F.col("method"), F.col("ms").cast("string")).alias("value")).coalesce(1).write.mode("append").text(path)
+
+
+def read_timing_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(method, ms) of the lines that have a method and a number; blank and other lines are left out."""
+    parts = F.split("value", ",")
+    return spark.read.text(path).select(F.trim(F.get(parts, F.lit(0))).alias("method"), strict_double(F.trim(F.get(parts, F.lit(1)))).alias("ms"), F.size(parts).alias("n")).where("n = 2 AND method <> '' AND ms IS NOT NULL").drop("n")
+
+
 def append_timing(spark: SparkSession, path: str, method: str, ms: float, **facts: object) -> None:
     """Adds a row (method, ms and the facts as text) to a log of Parquet files."""
     spark.createDataFrame([(method, float(ms), {k: str(v) for k, v in facts.items()})], "method string, ms double, facts map<string,string>").coalesce(1).write.mode("append").parquet(path)

@@ -51,25 +51,36 @@ def uniform(spark: SparkSession, n: int, m: int, seed: int = 42) -> Graph:
 
 
 def blocks_in_a_row(spark: SparkSession, n: int, m: int, seed: int = 42, blocks: int | None = None, distinct: bool = True) -> Graph:
-    """Cycles of consecutive ids, each joined to the next by a bridge, and further edges inside cycles, about m in all.
+    """Cycles of consecutive ids, each joined to the next by a bridge, and further edges inside cycles: m in all, those at least.
 
     2k-1 biconnected blocks and 2(k-1) articulation vertices for k cycles of three vertices or more (n/2000, two at least, by
-    default). distinct=False keeps repeated edges.
+    default). distinct=False draws the further edges as they come, so that some repeat others. Raises ValueError if distinct edges
+    don't find room.
     """
     k = blocks or max(2, n // 2000)
     size = n // k
     if size < 3:
         raise ValueError("cycles need three vertices at least")
+    last = n - (k - 1) * size
+    extra = max(0, m - n - (k - 1))
+    if distinct and extra > (k - 1) * (size * (size - 3) // 2) + last * (last - 3) // 2:
+        raise ValueError("more edges than the cycles have room for")
     block = F.least(F.floor(F.col("id") / size), F.lit(k - 1)).cast("long")
     start = block * size
-    own = F.when(block == k - 1, n - start).otherwise(F.lit(size))
+    own = F.when(block == k - 1, F.lit(last)).otherwise(F.lit(size))
     ring = spark.range(n).select(*_pair(F.col("id"), start + (F.col("id") - start + 1) % own))
     bridges = spark.range(k - 1).select(((F.col("id") + 1) * size - 1).alias("src"), ((F.col("id") + 1) * size).alias("dst"))
-    extra = max(0, m - n - (k - 1))
-    cells = spark.range(extra).select((_draw(seed, F.lit(1), "id") % n).alias("id"), F.col("id").alias("j"))
-    cells = cells.select("id", (start + _draw(seed, F.lit(2), "j") % own).alias("b")).where("id <> b").select(*_pair(F.col("id"), F.col("b")))
-    edges = ring.unionByName(bridges).unionByName(cells)
-    return Graph(spark.range(n), edges.distinct() if distinct else edges)
+    base, drawn = ring.unionByName(bridges), extra if not distinct else 2 * extra + 16
+    while True:
+        cells = spark.range(drawn).select((_draw(seed, F.lit(1), "id") % n).alias("id"), F.col("id").alias("j"))
+        # another vertex of the same cycle
+        cells = cells.select(*_pair(F.col("id"), start + (F.col("id") - start + 1 + _draw(seed, F.lit(2), "j") % (own - 1)) % own))
+        if not distinct:
+            return Graph(spark.range(n), base.unionByName(cells))
+        cells = cells.distinct().join(ring, ["src", "dst"], "left_anti")
+        if cells.count() >= extra:
+            return Graph(spark.range(n), base.unionByName(cells.orderBy(_draw(seed, "src", "dst"), "src", "dst").limit(extra)))
+        drawn *= 2
 
 
 def chain_of_cliques(spark: SparkSession, cliques: int = 8, size: int = 6) -> Graph:

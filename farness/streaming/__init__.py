@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from farness.graph import Graph
 from farness.operators.components import connected_components
-from farness.operators.traverse import bfs_pairs, msbfs_sums
+from farness.operators.traverse import bfs_pairs, msbfs_sums, pair_sums, shortest_paths
 from farness.plans import closeness
-from farness.scratch import Scratch
+from farness.scratch import Scratch, delete
 
 
 def apply_updates(graph: Graph, updates: DataFrame) -> Graph:
@@ -36,43 +36,107 @@ def affected_sources(graph: Graph, u, v, scratch: Scratch) -> DataFrame:
     return to.where("du IS NULL OR dv IS NULL OR abs(du - dv) > 1").select("id")
 
 
-def refreshed(graph: Graph, before: DataFrame, updates: DataFrame, scratch: Scratch) -> DataFrame:
-    """(id, r, d) of an undirected graph after updates, traversing only components that an update touches.
+def affected_by_batch(graph: Graph, updates: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id) of the sources whose distances may change by a batch of updates of an undirected graph.
 
-    before: (id, r, d) of the graph before. The others' rows are taken over.
+    From any other source the ends of every new edge are at most one apart (or both out of reach) and those of every deleted edge equally
+    far; then its old distances hold in the new graph too, however many edges come and go.
+    """
+    ends = updates.select("op", F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("w")).where("u <> w").distinct()
+    sources = scratch.cut(ends.select(F.explode(F.array("u", "w")).alias("id")).distinct())
+    known = scratch.cut(graph.canonical().arcs())
+    pairs = scratch.cut(bfs_pairs(known, sources, scratch, True))
+    near = lambda end, d: pairs.select(F.col("source").alias(end), F.col("v").alias("id"), F.col("d").alias(d))
+    reached = ends.join(near("u", "du"), "u").unionByName(ends.join(near("w", "dw"), "w"), allowMissingColumns=True)
+    both = reached.groupBy("op", "u", "w", "id").agg(F.max("du").alias("du"), F.max("dw").alias("dw"))
+    changed = "du IS NULL OR dw IS NULL OR op = 'insert' AND abs(du - dw) > 1 OR op = 'delete' AND du <> dw"
+    return both.where(changed).select("id").distinct()
+
+
+def refreshed(graph: Graph, before: DataFrame, updates: DataFrame, scratch: Scratch, few: float = 1 / 64) -> DataFrame:
+    """(id, r, d) of an undirected graph after updates, from (id, r, d) of the graph before; rows of unaffected sources are taken over.
+
+    Up to a share of `few` affected sources are traversed one by one; more are by traversing whole components that an update touches.
     """
     after = apply_updates(graph, updates).canonical()
     after = Graph(scratch.cut(after.vertices), scratch.cut(after.edges))
+    old = before.select("id", "r", "d")
+    affected = scratch.cut(affected_by_batch(graph, updates, scratch).unionByName(after.vertices.join(graph.vertices, "id", "left_anti").select("id")).distinct())
+    zero = F.lit(0).cast("long")
+    taken = lambda again: after.vertices.join(again.select("id"), "id", "left_anti").join(old, "id", "left").select("id", F.coalesce("r", zero).alias("r"), F.coalesce("d", zero).alias("d"))
+    if affected.count() <= few * after.vertices.count():
+        pairs = bfs_pairs(scratch.cut(after.arcs()), affected, scratch, True)
+        return pair_sums(pairs).select("id", "r", F.col("d").cast("long").alias("d")).unionByName(taken(affected))
     of = scratch.cut(after.vertices.join(connected_components(after.edges, scratch), "id", "left").select("id", F.coalesce("component", "id").alias("component")))
-    touched = updates.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-    comps = of.join(touched, "id", "left_semi").select("component").distinct()
+    comps = of.join(affected, "id", "left_semi").select("component").distinct()
     again = scratch.cut(of.join(comps, "component", "left_semi").select("id"))
-    arcs = after.arcs()
-    inside = scratch.cut(arcs.join(again.withColumnRenamed("id", "src"), "src", "left_semi"))
-    new = msbfs_sums(inside, again, scratch)
-    old = of.select("id").join(again, "id", "left_anti").join(before.select("id", "r", "d"), "id", "left")
-    return new.unionByName(old.select("id", F.coalesce("r", F.lit(0).cast("long")).alias("r"), F.coalesce("d", F.lit(0).cast("long")).alias("d")))
+    inside = scratch.cut(after.arcs().join(again.withColumnRenamed("id", "src"), "src", "left_semi"))
+    return msbfs_sums(inside, again, scratch, True).unionByName(taken(again))
+
+
+def refreshed_directed(graph: Graph, before: DataFrame, updates: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, r, d) of a directed weighted graph after updates: only vertices that reach the start of an updated arc, before or after,
+    are traversed again (the strong components that an update touches, and their ancestors); the other rows are taken over."""
+    after = apply_updates(graph, updates).canonical()
+    after = Graph(scratch.cut(after.vertices), scratch.cut(after.edges), True)
+    both = scratch.cut(graph.edges.select("src", "dst").unionByName(after.edges.select("src", "dst")).where("src <> dst").distinct())
+    back = both.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    state = scratch.cut(updates.select(F.col("src").alias("id")).distinct())
+    frontier = state
+    while not frontier.isEmpty():
+        step = frontier.join(back, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct()
+        frontier = scratch.cut(step.join(state, "id", "left_anti"))
+        state = scratch.cut(state.unionByName(frontier))
+    again = scratch.cut(after.vertices.join(state, "id", "left_semi"))
+    new = pair_sums(shortest_paths(after.edges, again, scratch))
+    kind = dict(new.dtypes)["d"]
+    old = after.vertices.join(again, "id", "left_anti").join(before.select("id", "r", "d"), "id", "left")
+    return new.unionByName(old.select("id", F.coalesce("r", F.lit(0).cast("long")).alias("r"), F.coalesce("d", F.lit(0)).cast(kind).alias("d")))
 
 
 class UpdateStream:
     """Applies each micro-batch of an update stream and hands the closeness of the graph after it to a sink.
 
-    The edges after each batch are a table in the shared folder, named by the batch, so a batch run again gives the same result.
+    The vertices and edges after each batch are tables in a folder of the checkpoint, named by the batch; a stream that is started again
+    with that checkpoint, in whatever session, goes on from the last whole one. A batch run again is applied to the tables
+    before it, so it gives the same result.
     """
 
     def __init__(self, graph: Graph, sink: Callable[[DataFrame, int], None], method: str = "bits", normalization: str | None = None):
         self.graph, self.sink, self.method, self.normalization = graph, sink, method, normalization
-        self.scratch = Scratch(graph.vertices.sparkSession, "updates")
-        self.done = -1
+        self.spark, self.state = graph.vertices.sparkSession, None
+
+    def _batches(self) -> list[int]:
+        """Batches whose tables are whole, in order."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        files = path(self.state).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [x.getPath().getName() for x in files.listStatus(path(self.state))] if files.exists(path(self.state)) else []
+        # edges are written after vertices
+        return sorted(int(n.partition("-")[2]) for n in names if n.startswith("edges-") and files.exists(path(f"{self.state}/{n}/_SUCCESS")))
+
+    def _at(self, number: int) -> Graph:
+        read = lambda name: self.spark.read.parquet(f"{self.state}/{name}-{number}")
+        return Graph(read("vertices"), read("edges"), self.graph.directed)
+
+    def before(self, number: int) -> Graph:
+        """The graph that batch `number` is applied to."""
+        done = [n for n in self._batches() if n < number]
+        return self._at(done[-1]) if done else self.graph
 
     def __call__(self, batch: DataFrame, number: int) -> None:
-        if number <= self.done:
-            return
-        after = apply_updates(self.graph, batch)
-        kept = Graph(self.scratch.cut(after.vertices), self.scratch.cut(after.edges), after.directed)
-        self.sink(closeness(kept, self.method, self.normalization), number)
-        self.graph, self.done = kept, number
+        if self.state is None:
+            self.state = Scratch(self.spark, "updates").path("graph")
+        if number not in self._batches():
+            after = apply_updates(self.before(number), batch)
+            after.vertices.write.mode("overwrite").parquet(f"{self.state}/vertices-{number}")
+            after.edges.write.mode("overwrite").parquet(f"{self.state}/edges-{number}")
+        self.sink(closeness(self._at(number), self.method, self.normalization), number)
+        # the batch before may still be asked for again, older ones not
+        for old in [n for n in self._batches() if n < number - 1]:
+            for name in ("edges", "vertices"):
+                delete(self.spark, f"{self.state}/{name}-{old}")
 
     def start(self, updates: DataFrame, checkpoint: str, **trigger):
-        """Starts a query over a streaming DataFrame of updates."""
+        """Starts a query over a streaming DataFrame of updates; checkpoint is a folder that driver and executors share."""
+        self.state = f"{checkpoint.rstrip('/')}/graph"
         return updates.writeStream.foreachBatch(self).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

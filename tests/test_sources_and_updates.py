@@ -8,7 +8,7 @@ from farness.functions import strict_double
 from farness.plans import closeness
 from farness.scratch import Scratch
 from farness.sources import append_timing, read_edge_list, read_values, write_edge_list, write_values
-from farness.streaming import UpdateStream, affected_sources, apply_updates, refreshed
+from farness.streaming import UpdateStream, affected_sources, apply_updates, refreshed, refreshed_directed
 from tests.graphs import DISCO, frame, random_edges, sums
 
 UPDATES = "op string, src long, dst long"
@@ -92,3 +92,43 @@ def test_update_stream(spark, tmp_path):
         query.awaitTermination(120)
         assert query.exception() is None
     assert got == {0: sums(4, [(0, 1), (1, 2)]), 1: sums(4, [(1, 2), (2, 3)])}
+
+
+def test_an_update_stream_goes_on_after_a_restart(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    got, start = {}, frame(spark, 5, [(0, 1)])
+    for k, batch in enumerate(([("insert", 1, 2)], [("insert", 2, 3)], [("insert", 3, 4), ("delete", 0, 1)])):
+        # a new object each time, as after a restart, that knows the first graph only
+        stream = UpdateStream(start, lambda df, number: got.__setitem__(number, rows(df)))
+        spark.createDataFrame(batch, UPDATES).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        query = stream.start(spark.readStream.schema(UPDATES).parquet(str(tmp_path / "in")), str(tmp_path / "checkpoint"))
+        query.awaitTermination(120)
+        assert query.exception() is None
+    assert got == {0: sums(5, [(0, 1), (1, 2)]), 1: sums(5, [(0, 1), (1, 2), (2, 3)]), 2: sums(5, [(1, 2), (2, 3), (3, 4)])}
+    # a batch that is asked for again gives the same
+    again = UpdateStream(start, lambda df, number: got.__setitem__(f"again {number}", rows(df)))
+    again.state = f"{tmp_path}/checkpoint/graph"
+    again(spark.createDataFrame(batch, UPDATES), 2)
+    assert got["again 2"] == got[2]
+
+
+@pytest.mark.parametrize("few", [0, 1])
+def test_refreshed_batches_equal_full(spark, few):
+    edges = random_edges(4, 24, 26)
+    updates = [("insert", 0, 9), ("insert", 3, 17), ("delete", *edges[2]), ("delete", *edges[7][::-1]), ("insert", 5, 30)]
+    scratch = Scratch(spark, "test")
+    g = frame(spark, 24, edges)
+    got = rows(refreshed(g, closeness(g, "bits"), spark.createDataFrame(updates, UPDATES), scratch, few))
+    left = [e for e in edges if e not in (edges[2], edges[7]) and e[::-1] not in (edges[2], edges[7])]
+    want = sums(31, [*left, (0, 9), (3, 17), (5, 30)])
+    assert got == {i: want[i] for i in [*range(24), 30]}
+
+
+def test_refreshed_directed_equals_full(spark):
+    edges = [(a, b, 1 + (a * b) % 3) for a, b in random_edges(5, 20, 40)]
+    updates = [("insert", 3, 11, 1), ("delete", edges[0][0], edges[0][1], None), ("insert", 19, 25, 2)]
+    scratch = Scratch(spark, "test")
+    g = frame(spark, 20, edges, True)
+    got = rows(refreshed_directed(g, closeness(g, "weighted"), spark.createDataFrame(updates, UPDATES + ", weight long"), scratch))
+    want = sums(26, [*(e for e in edges if e[:2] != edges[0][:2]), (3, 11, 1), (19, 25, 2)], True)
+    assert got == {i: want[i] for i in [*range(20), 25]}
