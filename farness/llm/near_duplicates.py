@@ -161,7 +161,7 @@ class _Texts:
     n: int
     repeated: bool
 
-    def sets(self, wanted: DataFrame) -> DataFrame:
+    def sets(self, wanted: DataFrame, scratch: Scratch) -> DataFrame:
         """(id, shingles, copies) of the classes whose number is in wanted's column _id, made anew from the rows that their reps are."""
         n = self.n
 
@@ -177,14 +177,15 @@ class _Texts:
                 nodes, copies = (batch.column(k).filter(pa.array(right, pa.bool_())) for k in (1, 4))
                 yield pa.RecordBatch.from_arrays([nodes, pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64))), copies], ["id", "shingles", "copies"])
 
-        named = self.reps.select("node", F.col("doc_id").alias("_of"), "f1", "f2", "copies").join(wanted, F.col("node") == F.col("_id"), "left_semi")
+        # a table of its own, so that its size is known when it is joined with the texts
+        named = scratch.cut(self.reps.select("node", F.col("doc_id").alias("_of"), "f1", "f2", "copies").join(wanted, F.col("node") == F.col("_id"), "left_semi"))
         rows = self.docs.select(F.col(f"`{self.key}`").cast("long").alias("_key"), F.col(f"`{self.text}`").alias("_text"))
         rows = rows.join(named, F.col("_key") == F.col("_of")).select("_text", "node", "f1", "f2", "copies")
         return rows.mapInArrow(run, "id long, shingles array<long>, copies long")
 
     def cut(self, wanted: DataFrame, scratch: Scratch) -> DataFrame:
         """sets() as a table (id, shingles), one row for each class."""
-        made = scratch.cut(self.sets(wanted))
+        made = scratch.cut(self.sets(wanted, scratch))
         if self.repeated:
             # rows that repeat both id and set
             made = scratch.cut(made.where("copies = 1").unionByName(made.where("copies > 1").dropDuplicates(["id"])))
@@ -308,9 +309,9 @@ def without_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "t
     if not twice.isEmpty():
         gone = gone.unionByName(usable.join(twice, F.col("doc_id") == F.col("again"), "left_semi"))
         first = usable.where("kept").groupBy("group").agg(F.min(F.struct("doc_id", *TEXT)).alias("least")).select("least.*")
-        marks = first.join(twice, F.col("doc_id") == F.col("again"), "left_semi").select(*name)
+        marks = scratch.keep(first.join(twice, F.col("doc_id") == F.col("again"), "left_semi").select(*name), "first")
         more = hashed.join(marks, same(), "left_semi").dropDuplicates([key, one, two])
-    marks = gone.select(*name).distinct()
+    marks = scratch.keep(gone.select(*name).distinct(), "gone")
     out = hashed.join(marks, same(), "left_anti")
     return (out if more is None else out.unionByName(more)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
