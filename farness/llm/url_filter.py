@@ -176,9 +176,9 @@ def labelled_by_page(pages: DataFrame, url: str = "url", html: str = "html", sam
     rows = pages.select(F.col(f"`{url}`").alias("url"), F.col(f"`{html}`").alias("html")).where("url IS NOT NULL AND html IS NOT NULL")
     share = min(1.0, sample / max(1, pages.where(F.col(f"`{url}`").isNotNull()).count()))
     near = rows.where(F.xxhash64("url", F.lit(5)) <= int(-(2**63) + share * (2**64 - 1025)))
-    # of pages of one URL the least counts
-    one = near.groupBy("url").agg(F.min("html").alias("html"))
-    return line_first(one.select("url", page_text(F.col("html")).alias("text"))).select("url", (~F.col("kept")).cast("int").alias("label"))
+    # pages are judged where they lie; of several pages of one URL the worst counts
+    judged = line_first(near.select("url", page_text(F.col("html")).alias("text"))).select("url", (~F.col("kept")).cast("int").alias("label"))
+    return judged.groupBy("url").agg(F.max("label").alias("label"))
 
 
 def fitted(urls: list[str], hosts: list[str], paths: list[str], label: np.ndarray, weight: np.ndarray | None = None, folds: int = 5, rounds: int = 60) -> Trees:
