@@ -177,9 +177,10 @@ class _Texts:
                 nodes, copies = (batch.column(k).filter(pa.array(right, pa.bool_())) for k in (1, 4))
                 yield pa.RecordBatch.from_arrays([nodes, pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64))), copies], ["id", "shingles", "copies"])
 
-        # a table of its own, so that its size is known when it is joined with the texts
+        # a table of its own, so that its size is known; texts meet its ids alone first, so that only those wanted are shuffled
         named = scratch.cut(self.reps.select("node", F.col("doc_id").alias("_of"), "f1", "f2", "copies").join(wanted, F.col("node") == F.col("_id"), "left_semi"))
         rows = self.docs.select(F.col(f"`{self.key}`").cast("long").alias("_key"), F.col(f"`{self.text}`").alias("_text"))
+        rows = rows.join(named.select(F.col("_of").alias("_any")), F.col("_key") == F.col("_any"), "left_semi")
         rows = rows.join(named, F.col("_key") == F.col("_of")).select("_text", "node", "f1", "f2", "copies")
         return rows.mapInArrow(run, "id long, shingles array<long>, copies long")
 
