@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from farness.llm.common import slices, spare, steady
+from farness.llm.common import BLANKS, slices, spare, steady
 from farness.llm.words import mix, shingle_sets
 from farness.operators.components import connected_components
 from farness.scratch import Scratch
@@ -302,19 +302,23 @@ def without_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "t
     every = scratch.keep(judged(docs, key, text, percent, n, scratch), "judged")
     usable = every.where("n_shingles > 0 AND doc_id IS NOT NULL")
     own, one, two = spare(docs, "_own", "_t1", "_t2")
-    name = [F.col("doc_id").alias(own), F.col("t1").alias(one), F.col("t2").alias(two)]
-    hashed = docs.select("*", *[h.alias(x) for h, x in zip(text_hash(F.col(f"`{text}`")), (one, two), strict=True)])
-    same = lambda: (F.col(f"`{key}`").cast("long") == F.col(own)) & (hashed[one] == marks[one]) & (hashed[two] == marks[two])
+    gone, id_of = usable.where("NOT kept"), F.col(f"`{key}`").cast("long")
     twice = scratch.keep(usable.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select(F.col("doc_id").alias("again")), "twice")
-    gone, more = usable.where("NOT kept"), None
-    if not twice.isEmpty():
-        gone = gone.unionByName(usable.join(twice, F.col("doc_id") == F.col("again"), "left_semi"))
+    repeats, again = not twice.isEmpty(), F.col("doc_id") == F.col("again")
+    # an id that one row with words has tells that row, so texts meet ids alone; rows of repeated ids are told by their text
+    alone = scratch.keep((gone.join(twice, again, "left_anti") if repeats else gone).select(F.col("doc_id").alias(own)), "gone")
+    out = docs.join(alone, (id_of == F.col(own)) & (F.length(F.btrim(F.col(f"`{text}`"), F.lit(BLANKS))) > 0), "left_anti")
+    if repeats:
+        name = [F.col("doc_id").alias(own), F.col("t1").alias(one), F.col("t2").alias(two)]
+        hashed = lambda df: df.select("*", *[h.alias(x) for h, x in zip(text_hash(F.col(f"`{text}`")), (one, two), strict=True)])
+        same = lambda rows, marks: (id_of == F.col(own)) & (rows[one] == marks[one]) & (rows[two] == marks[two])
         first = usable.where("kept").groupBy("group").agg(F.min(F.struct("doc_id", *TEXT)).alias("least")).select("least.*")
-        marks = scratch.keep(first.join(twice, F.col("doc_id") == F.col("again"), "left_semi").select(*name), "first")
-        more = hashed.join(marks, same(), "left_semi").dropDuplicates([key, one, two])
-    marks = scratch.keep(gone.select(*name).distinct(), "gone")
-    out = hashed.join(marks, same(), "left_anti")
-    return (out if more is None else out.unionByName(more)).select(*[F.col(f"`{c}`") for c in docs.columns])
+        marks = scratch.keep(first.join(twice, again, "left_semi").select(*name), "first")
+        rows = hashed(docs)
+        more = rows.join(marks, same(rows, marks), "left_semi").dropDuplicates([key, one, two])
+        marks, rows = scratch.keep(usable.join(twice, again, "left_semi").select(*name).distinct(), "repeats"), hashed(out)
+        out = rows.join(marks, same(rows, marks), "left_anti").unionByName(more)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def judged(docs: DataFrame, key: str, text: str, percent: int, n: int, scratch: Scratch | None = None) -> DataFrame:
