@@ -13,6 +13,7 @@ from farness.operators.blocks import block_sums
 from farness.operators.redundant import reduced_sums
 from farness.operators.strong import confined_sums, directed_sums
 from farness.operators.traverse import bfs_pairs, msbfs_sums, pair_sums
+from farness.operators.twins import folded
 from farness.scratch import Scratch
 
 
@@ -25,12 +26,12 @@ class Method:
     directed: bool = False
 
 
-def _pairs(graph: Graph, scratch: Scratch) -> DataFrame:
-    return pair_sums(bfs_pairs(scratch.cut(graph.arcs()), graph.vertices, scratch, not graph.directed))
+def _pairs(graph: Graph, scratch: Scratch, mass: DataFrame | None = None) -> DataFrame:
+    return pair_sums(bfs_pairs(scratch.cut(graph.arcs()), graph.vertices, scratch, not graph.directed), mass)
 
 
-def _bits(graph: Graph, scratch: Scratch) -> DataFrame:
-    return msbfs_sums(scratch.cut(graph.reversed().arcs() if graph.directed else graph.arcs()), graph.vertices, scratch, not graph.directed)
+def _bits(graph: Graph, scratch: Scratch, mass: DataFrame | None = None) -> DataFrame:
+    return msbfs_sums(scratch.cut(graph.reversed().arcs() if graph.directed else graph.arcs()), graph.vertices, scratch, not graph.directed, mass=mass)
 
 
 #: pairs: a row for each source and vertex; bits: 64 sources a row; reduced: without redundant sources; blocks: confined to
@@ -39,16 +40,16 @@ METHODS = {
     "pairs": Method(_pairs, "classic"),
     "bits": Method(_bits, "wf"),
     "reduced": Method(reduced_sums, "classic"),
-    "blocks": Method(block_sums, "wf"),
+    "blocks": Method(lambda graph, scratch, mass=None: block_sums(graph, scratch, mass=mass), "wf"),
     "weighted": Method(directed_sums, "reachable", True),
-    "confined": Method(confined_sums, "reachable", True),
+    "confined": Method(lambda graph, scratch, mass=None: confined_sums(graph, scratch, mass=mass), "reachable", True),
 }
 
 
 def closeness(graph: Graph, method: str = "bits", normalization: str | None = None, scratch: Scratch | None = None) -> DataFrame:
     """(id, r, d, closeness) for every vertex: others reached, the sum of their distances, and closeness by the normalization.
 
-    Distances of directed graphs go out of the vertex. Loops and parallel edges don't matter; isolated vertices get 0, 0, 0.0.
+    Every method runs on the graph folded by its twins (operators/twins.py). Distances of directed graphs go out of the vertex. Loops and parallel edges don't matter; isolated vertices get 0, 0, 0.0.
     """
     scratch = scratch or Scratch(graph.vertices.sparkSession, "closeness")
     plan = METHODS[method]
@@ -58,7 +59,8 @@ def closeness(graph: Graph, method: str = "bits", normalization: str | None = No
         graph = Graph(graph.vertices, graph.edges.withColumn("weight", F.lit(1).cast("long")), True)
     plain = graph.canonical()
     plain = Graph(scratch.cut(plain.vertices), scratch.cut(plain.edges), plain.directed)
-    sums = plan.sums(plain, scratch)
+    few = folded(plain, scratch)
+    sums = few.unfolded(plan.sums(few.graph, scratch, few.mass), scratch)
     n = plain.vertices.count()
     kind = "double" if dict(sums.dtypes)["d"] == "double" else "long"
     out = plain.vertices.join(sums, "id", "left").select("id", F.coalesce("r", F.lit(0)).cast("long").alias("r"), F.coalesce("d", F.lit(0)).cast(kind).alias("d"))
