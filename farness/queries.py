@@ -322,8 +322,9 @@ def top10_closeness(spark, d):
 
 
 def _methods(spark, d):
-    g = market(spark, d)
-    return {m: closeness(g, m, "wf") for m in ("bits", "blocks")}
+    # as tables: rows are used several times, and Spark may zip what is united by partitions that differ in number
+    g, scratch = market(spark, d), Scratch(spark, "methods")
+    return {m: scratch.cut(closeness(g, m, "wf")) for m in ("bits", "blocks")}
 
 
 @query("SELECT 'bits' method_i, 'blocks' method_j, CAST(0 AS DOUBLE) mse")
