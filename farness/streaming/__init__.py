@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from farness.graph import Graph
 from farness.operators.components import connected_components
-from farness.operators.traverse import bfs_pairs, msbfs_sums, pair_sums, shortest_paths
+from farness.operators.traverse import bfs_pairs, least_sums, msbfs_sums, pair_sums
+from farness.operators.twins import folded
 from farness.plans import closeness
 from farness.scratch import Scratch, delete
 
@@ -70,8 +71,9 @@ def refreshed(graph: Graph, before: DataFrame, updates: DataFrame, scratch: Scra
     of = scratch.cut(after.vertices.join(connected_components(after.edges, scratch), "id", "left").select("id", F.coalesce("component", "id").alias("component")))
     comps = of.join(affected, "id", "left_semi").select("component").distinct()
     again = scratch.cut(of.join(comps, "component", "left_semi").select("id"))
-    inside = scratch.cut(after.arcs().join(again.withColumnRenamed("id", "src"), "src", "left_semi"))
-    return msbfs_sums(inside, again, scratch, True).unionByName(taken(again))
+    few = folded(Graph(again, scratch.cut(after.edges.join(again.withColumnRenamed("id", "src"), "src", "left_semi"))), scratch)
+    sums = msbfs_sums(scratch.cut(few.graph.arcs()), few.graph.vertices, scratch, True, mass=few.mass)
+    return few.unfolded(sums, scratch).unionByName(taken(again))
 
 
 def refreshed_directed(graph: Graph, before: DataFrame, updates: DataFrame, scratch: Scratch) -> DataFrame:
@@ -88,7 +90,7 @@ def refreshed_directed(graph: Graph, before: DataFrame, updates: DataFrame, scra
         frontier = scratch.cut(step.join(state, "id", "left_anti"))
         state = scratch.cut(state.unionByName(frontier))
     again = scratch.cut(after.vertices.join(state, "id", "left_semi"))
-    new = pair_sums(shortest_paths(after.edges, again, scratch))
+    new = least_sums(after.edges, after.vertices, scratch, sources=again)
     kind = dict(new.dtypes)["d"]
     old = after.vertices.join(again, "id", "left_anti").join(before.select("id", "r", "d"), "id", "left")
     return new.unionByName(old.select("id", F.coalesce("r", F.lit(0).cast("long")).alias("r"), F.coalesce("d", F.lit(0)).cast(kind).alias("d")))
