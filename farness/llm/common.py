@@ -30,12 +30,28 @@ def spare(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+def give_back() -> None:
+    """Hands freed memory of this worker back to the system: workers outlive tasks and stages, and share an executor's memory."""
+    import contextlib
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches, column: int, most: int = 8 << 20):
-    """Arrow record batches cut so that the given text column has about `most` bytes in each; a single longer text stays whole."""
+    """Arrow record batches cut so that the given text column has about `most` bytes in each; a single longer text stays whole.
+
+    What earlier tasks of this worker, or this one, have freed goes back to the system at both ends.
+    """
     import pyarrow as pa
     import pyarrow.compute as pc
     import numpy as np
 
+    give_back()
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         ends, at = np.cumsum(sizes, dtype=np.int64), 0
@@ -44,6 +60,8 @@ def slices(batches, column: int, most: int = 8 << 20):
             to = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
             yield batch.slice(at, to - at)
             at = to
+    batch = sizes = ends = None
+    give_back()
 
 
 def in_fold(key: Column, folds: int, fold: int) -> Column:
