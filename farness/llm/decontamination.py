@@ -39,6 +39,7 @@ SCHEMA = "doc_id long, item_id long, matched_words long, item_words long, share
 #: Bytes of words: letters, digits and everything beyond ASCII.
 _LETTERS = np.array([chr(b).isalnum() if b < 128 else True for b in range(256)])
 _PLACES = mix(np.arange(101, 101 + SPAN, dtype=np.uint64)) | np.uint64(1)
+#: Bits of a hash that a seed's bitmap tells apart, at most; some 6 more than its windows need, so about one in 64 foreign windows passes.
 _BITS = 22
 #: A window found more often than that in one item is joined by ranges.
 REPEATS = 3
@@ -120,8 +121,9 @@ class SeedIndex:
         hashes = np.concatenate(parts)
         items = np.repeat(np.array(of, np.int64), [p.size for p in parts])
         at = np.concatenate([np.arange(p.size) for p in parts])
-        bitmap = np.zeros(1 << _BITS, bool)
-        bitmap[hashes >> np.uint64(64 - _BITS)] = True
+        shift = np.uint64(64 - min(_BITS, max(10, hashes.size.bit_length() + 6)))
+        bitmap = np.zeros(1 << int(64 - shift), bool)
+        bitmap[hashes >> shift] = True
         order = np.lexsort((at, items, hashes))
         hashes, items, at = hashes[order], items[order], at[order]
         first = np.flatnonzero(np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (items[1:] != items[:-1])]))
@@ -129,15 +131,15 @@ class SeedIndex:
         often = count > REPEATS
         once = ~np.repeat(often, count)
         ranges = (hashes[first[often]], items[first[often]], at[first[often]], at[(first + count - 1)[often]])
-        self.seeds.append((places, salt, bitmap, (hashes[once], items[once], at[once]), ranges))
+        self.seeds.append((places, salt, shift, bitmap, (hashes[once], items[once], at[once]), ranges))
 
     def _candidates(self, hashes: np.ndarray, bounds: np.ndarray, ranges: list):
         """Yields distinct rows (document, item, place in the batch's words where the item would start), those of one window
         maybe again later; rows (document, item, first such place, last) are put into ranges."""
         waiting, n_waiting = [], 0
-        for places, salt, bitmap, (known, items, at), (hot, hot_items, lo, hi) in self.seeds:
+        for places, salt, shift, bitmap, (known, items, at), (hot, hot_items, lo, hi) in self.seeds:
             own = seed_hashes(hashes, places, salt)
-            near = np.flatnonzero(bitmap[own >> np.uint64(64 - _BITS)])
+            near = np.flatnonzero(bitmap[own >> shift])
             doc = np.searchsorted(bounds, near, "right") - 1
             inside = near + max(places) < bounds[doc + 1]
             near, doc = near[inside], doc[inside]

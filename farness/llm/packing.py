@@ -26,6 +26,8 @@ from farness.llm.tokens import encoder, with_end
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Rows of one output batch, about.
 OUT_ROWS = 20_000
+#: Bytes of texts that are encoded at a time, about; what that takes is some 20 times as much.
+SLICE = 1 << 20
 
 
 class LevelPacker:
@@ -143,7 +145,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: s
             rows.clear()
             return out
 
-        for batch in slices(batches, 1, 4 << 20):
+        for batch in slices(batches, 1, SLICE):
             ids, offsets = with_end(*encode(batch.column(1)), end_id)
             for i, k in enumerate(batch.column(0).to_pylist()):
                 emit(packer.add(k, ids[offsets[i] : offsets[i + 1]]))

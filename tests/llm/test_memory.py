@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import os
+import pickle
 
 import numpy as np
 import pyarrow as pa
 
 from farness.llm.common import slices
+from farness.llm.decontamination import Overlap, SeedIndex, text_words
 
 
 def _resident() -> int:
@@ -24,3 +26,11 @@ def test_memory_freed_by_earlier_tasks_goes_back():
     texts = pa.RecordBatch.from_arrays([pa.array(["a" * 10, None, "b" * 30])], ["text"])
     assert [b.num_rows for b in slices(iter([texts]), 0, 20)] == [2, 1]
     assert before - _resident() > 150_000_000 and last.all()
+
+
+def test_a_small_benchmark_makes_a_small_index():
+    # every worker holds the index, beside what the stages after it hold
+    index = SeedIndex([1, 2], [" ".join(f"w{k}" for k in range(n)) for n in (40, 7)], Overlap())
+    assert len(pickle.dumps(index)) < 1 << 20
+    hashes, bounds = text_words(pa.array(["x " + " ".join(f"w{k}" for k in range(40)), "y w1 w2", " ".join(f"w{k}" for k in range(7))]))
+    assert {(doc, item) for doc, item, *_ in index.held(hashes, bounds)} == {(0, 0), (0, 1), (2, 1)}
