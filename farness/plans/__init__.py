@@ -14,6 +14,7 @@ from farness.operators.redundant import reduced_sums
 from farness.operators.strong import confined_sums, directed_sums
 from farness.operators.traverse import bfs_pairs, msbfs_sums, pair_sums
 from farness.operators.twins import folded
+from farness.operators.whole import folded_sums, gathered
 from farness.scratch import Scratch
 
 
@@ -24,6 +25,7 @@ class Method:
     sums: object
     normalization: str
     directed: bool = False
+    arrays: bool = False  # whether its sums are those of whole.sums()
 
 
 def _pairs(graph: Graph, scratch: Scratch, mass: DataFrame | None = None) -> DataFrame:
@@ -38,10 +40,10 @@ def _bits(graph: Graph, scratch: Scratch, mass: DataFrame | None = None) -> Data
 #: biconnected blocks; weighted and confined: directed graphs, over all pairs or confined to strong components.
 METHODS = {
     "pairs": Method(_pairs, "classic"),
-    "bits": Method(_bits, "wf"),
+    "bits": Method(_bits, "wf", arrays=True),
     "reduced": Method(reduced_sums, "classic"),
     "blocks": Method(lambda graph, scratch, mass=None: block_sums(graph, scratch, mass=mass), "wf"),
-    "weighted": Method(directed_sums, "reachable", True),
+    "weighted": Method(directed_sums, "reachable", True, arrays=True),
     "confined": Method(lambda graph, scratch, mass=None: confined_sums(graph, scratch, mass=mass), "reachable", True),
 }
 
@@ -56,7 +58,13 @@ def closeness(graph: Graph, method: str = "bits", normalization: str | None = No
     if plan.directed and not graph.directed:
         graph = Graph(graph.vertices, graph.canonical().arcs(), True)
     if plan.directed and not graph.weighted:
-        graph = Graph(graph.vertices, graph.edges.withColumn("weight", F.lit(1).cast("long")), True)
+        graph = Graph(graph.vertices, graph.edges.withColumn("weight", F.lit(1).cast("long")), True, graph.ends)
+    spark = graph.vertices.sparkSession
+    if plan.arrays and not plan.directed and graph.weighted:
+        graph = Graph(graph.vertices, graph.edges.select("src", "dst"), graph.directed, graph.ends)
+    if (whole := gathered(graph)) is not None:
+        sums = folded_sums(spark, whole, None if plan.arrays else lambda few, mass: plan.sums(few, scratch, mass))
+        return sums.withColumn("closeness", closeness_of(F.col("r"), F.col("d"), whole.ids.size, normalization or plan.normalization))
     plain = graph.canonical()
     plain = Graph(scratch.cut(plain.vertices), scratch.cut(plain.edges), plain.directed)
     few = folded(plain, scratch)

@@ -53,7 +53,8 @@ CHAIN = "SELECT CAST(a.r_regionkey AS BIGINT) AS src, CAST(b.r_regionkey AS BIGI
 
 
 def graph_of(spark: SparkSession, sf_dir: str, sql: str, tables: tuple[str, ...], directed: bool = False) -> Graph:
-    return Graph.of_edges(rows_of(spark, sf_dir, sql, tables), directed)
+    # as a table: vertices and edges, and updates of them, are all made from these rows
+    return Graph.of_edges(Scratch(spark, "edges").cut(rows_of(spark, sf_dir, sql, tables)), directed)
 
 
 def rows_of(spark: SparkSession, sf_dir: str, sql: str, tables: tuple[str, ...]) -> DataFrame:
