@@ -21,9 +21,11 @@ def apply_updates(graph: Graph, updates: DataFrame) -> Graph:
     Undirected edges are deleted in either direction; the ends of inserted edges become vertices.
     """
     gone = updates.where("op = 'delete'").select("src", "dst")
+    new = updates.where("op = 'insert'").select("src", "dst", *(["weight"] * graph.weighted))
+    if graph.ends and gone.isEmpty():
+        return Graph.of_edges(graph.edges.unionByName(new), graph.directed)
     if not graph.directed:
         gone = gone.unionByName(gone.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    new = updates.where("op = 'insert'").select("src", "dst", *(["weight"] * graph.weighted))
     vertices = graph.vertices.select("id").unionByName(new.select(F.explode(F.array("src", "dst")).alias("id"))).distinct()
     return Graph(vertices, graph.edges.join(gone.distinct(), ["src", "dst"], "left_anti").unionByName(new), graph.directed)
 

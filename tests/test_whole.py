@@ -9,6 +9,7 @@ import pytest
 from farness.graph import Graph
 from farness.operators import local, traverse
 from farness.plans import closeness
+from farness.streaming import apply_updates
 
 
 def _graph(spark, directed: bool, seed: int) -> Graph:
@@ -51,3 +52,10 @@ def test_few_jobs(spark, method, most):
     graph = Graph.of_edges(spark.createDataFrame([(k % 3, 10 + k) for k in range(60)] + [(0, 1), (1, 2)], "src long, dst long"))
     n = jobs_of(spark, f"few-{method}", lambda: closeness(graph, method).collect())
     assert n <= most
+
+
+def test_inserts_are_few_jobs(spark):
+    graph = Graph.of_edges(spark.createDataFrame([(k % 3, 10 + k) for k in range(60)] + [(0, 1)], "src long, dst long"))
+    after = apply_updates(graph, spark.createDataFrame([("insert", 1, 2), ("insert", 2, 99)], "op string, src long, dst long"))
+    assert after.ends and after.edges.count() == 63 and {99, 69} < {r.id for r in after.vertices.collect()}
+    assert jobs_of(spark, "few-inserts", lambda: closeness(after).collect()) <= 12
