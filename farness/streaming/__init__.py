@@ -4,16 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from farness.graph import Graph
 from farness.operators.components import connected_components
+from farness.operators.local import Adjacency, _rows_of, adjacency, weak_components
 from farness.operators.traverse import bfs_pairs, least_sums, msbfs_sums, pair_sums
 from farness.operators.twins import folded
+from farness.operators.whole import Whole, folded_sums, gathered
 from farness.plans import closeness
 from farness.scratch import Scratch, delete
 
+#: Updates of a batch whose ends one pass on the driver searches from, at most.
+MOST_UPDATES = 64
+
 
 def apply_updates(graph: Graph, updates: DataFrame) -> Graph:
     """The graph after updates (op 'insert' or 'delete', src, dst and, if weighted, weight): deletes first, of all parallel edges.
@@ -56,12 +63,60 @@ def affected_by_batch(graph: Graph, updates: DataFrame, scratch: Scratch) -> Dat
     return both.where(changed).select("id").distinct()
 
 
+def _hops(graph: Adjacency, source: int) -> np.ndarray:
+    """Hop distances from a vertex; -1 out of reach."""
+    out, frontier, level = np.full(graph.out.size - 1, -1), np.array([source]), 0
+    while frontier.size:
+        out[frontier] = level
+        to = np.unique(graph.targets[_rows_of(graph.out, frontier)[1]])
+        frontier, level = to[out[to] < 0], level + 1
+    return out
+
+
+def _changed(before: Whole, after: Whole, updates: list[tuple[str, int, int]]) -> np.ndarray:
+    """Which vertices of after affected_by_batch() names, and those that are new."""
+    arcs, order = adjacency(before.ids.size, *before.arcs()[:2], None)
+    number = np.argsort(order)
+    nowhere = np.full(before.ids.size, -1)
+    ends = np.unique([x for _, u, w in updates for x in (u, w)])
+    at = np.searchsorted(before.ids, ends)
+    far = {x: _hops(arcs, number[k])[number] if k < before.ids.size and before.ids[k] == x else nowhere for x, k in zip(ends.tolist(), at.tolist(), strict=True)}
+    changed = np.zeros(before.ids.size, bool)
+    for op, u, w in updates:
+        du, dw = far[u], far[w]
+        apart = np.abs(du - dw) > 1 if op == "insert" else du != dw
+        changed |= ((du < 0) != (dw < 0)) | ((du >= 0) & (dw >= 0) & apart)
+    return np.isin(after.ids, before.ids[changed]) | ~np.isin(after.ids, before.ids)
+
+
+def _refreshed_arrays(graph: Graph, after: Graph, before: DataFrame, updates: DataFrame, few: float) -> DataFrame | None:
+    """refreshed() where many sources are affected, of graphs that can be gathered and batches whose searches are few; else None."""
+    spark = graph.edges.sparkSession
+    ends = updates.where("src <> dst").select("op", "src", "dst").distinct().limit(MOST_UPDATES + 1).collect()
+    if graph.weighted or len(ends) > MOST_UPDATES or (old := gathered(graph)) is None or (new := gathered(after)) is None:
+        return None
+    changed = _changed(old, new, [tuple(r) for r in ends]) if ends else np.zeros(new.ids.size, bool)
+    if changed.sum() <= few * new.ids.size:
+        return None
+    label = weak_components(new.ids.size, new.src, new.dst)
+    again = np.isin(label, np.unique(label[changed]))
+    sums = folded_sums(spark, new.part(again))
+    if again.all():
+        return sums
+    zero = F.lit(0).cast("long")
+    taken = spark.createDataFrame(pa.table({"id": new.ids[~again]})).join(before.select("id", "r", "d"), "id", "left")
+    return sums.unionByName(taken.select("id", F.coalesce("r", zero).alias("r"), F.coalesce("d", zero).alias("d")))
+
+
 def refreshed(graph: Graph, before: DataFrame, updates: DataFrame, scratch: Scratch, few: float = 1 / 64) -> DataFrame:
     """(id, r, d) of an undirected graph after updates, from (id, r, d) of the graph before; rows of unaffected sources are taken over.
 
     Up to a share of `few` affected sources are traversed one by one; more are by traversing whole components that an update touches.
     """
-    after = apply_updates(graph, updates).canonical()
+    after = apply_updates(graph, updates)
+    if (arrays := _refreshed_arrays(graph, after, before, updates, few)) is not None:
+        return arrays
+    after = after.canonical()
     after = Graph(scratch.cut(after.vertices), scratch.cut(after.edges))
     old = before.select("id", "r", "d")
     affected = scratch.cut(affected_by_batch(graph, updates, scratch).unionByName(after.vertices.join(graph.vertices, "id", "left_anti").select("id")).distinct())

@@ -10,7 +10,8 @@ from farness.graph import Graph
 from farness.operators import local, traverse
 from farness.operators.blocks import sums_in_blocks
 from farness.plans import closeness
-from farness.streaming import apply_updates
+from farness.scratch import Scratch
+from farness.streaming import apply_updates, refreshed
 
 
 def _graph(spark, directed: bool, seed: int) -> Graph:
@@ -84,3 +85,13 @@ def test_blocks_of_few_edges_are_summed_in_a_task(spark):
         assert sums_in_blocks([a for a, _ in edges], [b for _, b in edges], mass, 1) is None
     graph = Graph.of_edges(spark.createDataFrame([(k % 3, 10 + k) for k in range(60)] + [(0, 1), (1, 2)], "src long, dst long"))
     assert jobs_of(spark, "few-blocks", lambda: closeness(graph, "blocks").collect()) <= 12
+
+
+def test_refreshed_by_arrays(spark):
+    graph = Graph.of_edges(spark.createDataFrame([(k % 3, 10 + k) for k in range(30)] + [(0, 1), (500, 501), (501, 502), (600, 600)], "src long, dst long"))
+    updates = spark.createDataFrame([("insert", 1, 2), ("delete", 0, 10 + 3), ("insert", 2, 99), ("insert", 7, 7)], "op string, src long, dst long")
+    want = _rows(closeness(apply_updates(graph, updates)).select("id", "r", "d"))
+    before = closeness(graph).select("id", "r", "d")
+    found = []
+    assert jobs_of(spark, "few-refreshed", lambda: found.extend(_rows(refreshed(graph, before, updates, Scratch(spark, "refreshed-arrays"), 0.0)))) <= 30
+    assert found == want and len(found) == 39
