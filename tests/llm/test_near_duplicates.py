@@ -139,3 +139,13 @@ def test_one_row_of_each_group_stays(spark):
     assert nd.without_near_duplicates(df.where("false")).count() == 0
     single = spark.createDataFrame([r[:2] for r in rows if r[0] not in (3, 7, 8, 9)] + [(3, x)], DOCS)
     assert sorted(str(r.doc_id) for r in nd.without_near_duplicates(single).collect()) == ["3", "4", "None", "None"]
+
+
+def test_copies_of_one_text_are_confirmed_about_once_each(spark, monkeypatch):
+    # every band has a leader of its own, and all of a group's members share most bands: one meeting joins them
+    rng, words = random.Random(9), [f"w{i}" for i in range(300)]
+    texts = [" ".join([*words[:k], f"x{k}", *words[k + 1 :]]) for k in rng.sample(range(300), 200)]
+    rows, asked, confirmed = list(enumerate(texts)), [], nd._confirmed
+    monkeypatch.setattr(nd, "_confirmed", lambda pairs, *a: asked.append(pairs.count()) or confirmed(pairs, *a))
+    got = {r.doc_id: r.component_id for r in nd.near_duplicates(spark.createDataFrame(rows, DOCS), percent=85).collect()}
+    assert got == dict.fromkeys(range(200), 0) and sum(asked) < 2 * len(rows)
