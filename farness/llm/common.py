@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: The six bytes that separate words in every contract of this subpackage.
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_CLASS = r"[\x20\x09-\x0D]"
+#: Rows of an Arrow batch of whole texts.
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,28 +32,43 @@ def spare(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
-def give_back() -> None:
-    """Hands freed memory of this worker back to the system: workers outlive tasks and stages, and share an executor's memory."""
+def small_batches(spark: SparkSession) -> None:
+    """Lets Arrow batches of this session have BATCH_ROWS rows, unless it has a number of its own: with whole texts the default takes
+    tens of MB of each task, several times over in the JVM (buffers double as they grow) and in the worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def give_back(encodes: bool = False) -> None:
+    """Hands freed memory of this worker back to the system: workers outlive tasks and stages, and share an executor's memory.
+
+    Tasks that don't encode drop the tokenizers that earlier ones left, with all the pieces that these remember.
+    """
     import contextlib
     import ctypes
+    import sys
 
     import pyarrow as pa
 
+    if not encodes and (tokens := sys.modules.get("farness.llm.tokens")):
+        tokens.encoder.cache_clear()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # not every C library has it
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def slices(batches, column: int, most: int = 8 << 20):
+def slices(batches, column: int, most: int = 8 << 20, encodes: bool = False):
     """Arrow record batches cut so that the given text column has about `most` bytes in each; a single longer text stays whole.
 
-    What earlier tasks of this worker, or this one, have freed goes back to the system at both ends.
+    What earlier tasks of this worker, or this one, have freed goes back to the system at both ends; tokenizers only stay if the task
+    encodes.
     """
     import pyarrow as pa
     import pyarrow.compute as pc
     import numpy as np
 
-    give_back()
+    give_back(encodes)
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         ends, at = np.cumsum(sizes, dtype=np.int64), 0
@@ -61,7 +78,7 @@ def slices(batches, column: int, most: int = 8 << 20):
             yield batch.slice(at, to - at)
             at = to
     batch = sizes = ends = None
-    give_back()
+    give_back(encodes)
 
 
 def in_fold(key: Column, folds: int, fold: int) -> Column:

@@ -145,7 +145,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: s
             rows.clear()
             return out
 
-        for batch in slices(batches, 1, SLICE):
+        for batch in slices(batches, 1, SLICE, encodes=True):
             ids, offsets = with_end(*encode(batch.column(1)), end_id)
             for i, k in enumerate(batch.column(0).to_pylist()):
                 emit(packer.add(k, ids[offsets[i] : offsets[i + 1]]))

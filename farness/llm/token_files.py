@@ -36,7 +36,7 @@ def write_token_files(
         from pyspark import TaskContext
 
         encode, part, place = encoder(tokenizer).encode, TaskContext.get().partitionId(), 0
-        for batch in slices(batches, 1, 4 << 20):
+        for batch in slices(batches, 1, 4 << 20, encodes=True):
             ids, offsets = with_end(*encode(batch.column(1)), end_id)
             n = batch.num_rows
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.view(np.int32)))
